@@ -53,11 +53,11 @@ _NAME_CASES = {
     "stars": [("l_suppkey % 11 = 0", "'★★ '"), ("l_suppkey % 11 > 0", "''")],
     "ext": [
         ("l_suppkey % 13 = 0", "'.rar'"),
-        ("l_suppkey % 13 = 1", "'.part1.rar'"),
-        ("l_suppkey % 13 = 2", "'.part2.rar'"),
+        ("l_suppkey % 13 = 1 AND l_linenumber = 7", "'.part1.rar'"),
+        ("l_suppkey % 13 = 2 AND l_linenumber = 7", "'.part2.rar'"),
         ("l_suppkey % 13 = 3", "'.cbz'"),
         ("l_suppkey % 13 = 4", "'.ZIP'"),
-        ("l_suppkey % 13 > 4", "'.zip'"),
+        ("l_suppkey % 13 > 0", "'.zip'"),
     ],
     "folder": [
         ("l_orderkey % 6 = 0", "p_name || ' story/'"),
@@ -75,7 +75,6 @@ def _case(branches) -> str:
 
 
 _ROOT = "'/lib' || CAST(l_suppkey % 3 AS VARCHAR(3))"
-_NAME = "|| ".join(_case(_NAME_CASES[k]) for k in ("stars", "tag", "title", "vol", "edition", "ext"))
 # Stars sit in front of the title proper, after the tag.
 _NAME = " || ".join(f"({_case(_NAME_CASES[k])})" for k in ("tag", "stars", "title", "vol", "edition", "ext"))
 _REL = f"({_case(_NAME_CASES['folder'])}) || {_NAME}"

@@ -11,6 +11,7 @@ from shelfmark.functions import fixed_values as fv
 from shelfmark.functions import rx
 from shelfmark.functions.text import (
     basename,
+    computed_here,
     digits_value,
     extension,
     has_japanese,
@@ -41,7 +42,10 @@ def tidy_series(c: Column) -> Column:
 
 
 def strip_variants(c: Column, space: str = fv.ASCII_SPACE) -> Column:
-    return trimmed(F.regexp_replace(trimmed(c), rx.jvm(rx.variant_run(space), True), ""))
+    t = trimmed(c)
+    return F.when(
+        t.rlike(rx.jvm(rx.SUFFIX_LAST)), trimmed(F.regexp_replace(t, rx.jvm(rx.variant_run(space), True), ""))
+    ).otherwise(t)
 
 
 def strip_editions_and_variants(c: Column, space: str = fv.ASCII_SPACE) -> Column:
@@ -187,12 +191,15 @@ def _removal_count(tail: Column, unit: str, first: str) -> Column:
     return F.regexp_count(F.reverse(kinds), F.lit("12*|2+"))
 
 
-def with_parsed_name(df: DataFrame, source: str, out: str = "parsed", existing: bool = False) -> DataFrame:
+def with_parsed_name(
+    df: DataFrame, source: str, out: str = "parsed", existing: bool = False, reasons: bool = False
+) -> DataFrame:
     """Add struct ``out`` (series, author, volume, has_volume, confidence, reasons).
 
     ``existing=False`` is the rule set for fresh archives, ``existing=True`` the one for
     libraries that were named before: wide blanks count as blanks, a trailing range
-    overrides a single volume, and a doubled title stays.
+    overrides a single volume, and a doubled title stays.  ``reasons=True`` adds the list of
+    rules that applied.
     """
     space = fv.WIDE_SPACE if existing else fv.ASCII_SPACE
     vol, tail = rx.volume_vol(space), rx.volume_tail(space)
@@ -203,6 +210,7 @@ def with_parsed_name(df: DataFrame, source: str, out: str = "parsed", existing:
 
     df = add(df, base=trimmed(without_known_extension(basename(F.col(source)))))
     df = add(df, lead=F.regexp_extract(c("base"), rx.jvm(rx.LEADING_BRACKETS), 0))
+    df = add(df, body=trimmed(F.substr(c("base"), F.length(c("lead")) + 1)))
     df = add(
         df,
         tags=F.when(
@@ -212,15 +220,21 @@ def with_parsed_name(df: DataFrame, source: str, out: str = "parsed", existing:
                 lambda t: trimmed(F.substr(t, F.lit(2), F.length(t) - 2)),
             ),
         ).otherwise(F.array().cast("array<string>")),
-        body=trimmed(F.substr(c("base"), F.length(c("lead")) + 1)),
     )
     df = add(
         df,
         authors=F.filter(c("tags"), lambda t: ~is_metadata_tag(t)),
-        cut=F.regexp_extract(c("body"), rx.jvm(rx.suffix_run(space), True), 0),
+        cut=F.when(
+            c("body").rlike(rx.jvm(rx.SUFFIX_LAST)), F.regexp_extract(c("body"), rx.jvm(rx.suffix_run(space), True), 0)
+        ).otherwise(""),
     )
     df = add(df, body2=trimmed(F.left(c("body"), F.length(c("body")) - F.length(c("cut")))))
-    df = add(df, page=F.regexp_extract(c("body2"), rx.jvm(rx.PAGE_RUN, True), 0))
+    df = add(
+        df,
+        page=F.when(
+            c("body2").rlike(rx.jvm(rx.PAGE_LAST)), F.regexp_extract(c("body2"), rx.jvm(rx.PAGE_RUN, True), 0)
+        ).otherwise(""),
+    )
     df = add(df, text=trimmed(F.left(c("body2"), F.length(c("body2")) - F.length(c("page")))))
 
     jp = F.regexp_extract(c("text"), rx.jvm(rx.VOLUME_JP, True), 1)
@@ -261,7 +275,7 @@ def with_parsed_name(df: DataFrame, source: str, out: str = "parsed", existing:
         _removal_count(c("page"), f"{rx.PAGE_TAIL}|{rx.CHAPTER_TAIL}", rx.PAGE_TAIL)
     )
     none = F.array().cast("array<string>")
-    reasons = F.concat(
+    applied = F.concat(
         F.array_repeat(F.lit("metadata-prefix"), F.size(c("tags")) - F.size(c("authors"))),
         F.when(F.size(c("authors")) > 0, F.array(F.lit("author-prefix"))).otherwise(none),
         none if existing else F.array_repeat(F.lit("edition-or-variant-suffix"), edition_passes),
@@ -274,17 +288,16 @@ def with_parsed_name(df: DataFrame, source: str, out: str = "parsed", existing:
             )
         ),
     )
-    df = df.withColumn(
-        out,
-        F.struct(
-            safe_folder_name(F.when(c("title") != "", c("title")).otherwise(c("text"))).alias("series"),
-            F.coalesce(F.try_element_at(c("authors"), F.lit(-1)), F.lit("")).alias("author"),
-            F.when(has_volume, digits_value(F.concat(c("jp"), c("vol"), c("tail")))).alias("volume"),
-            has_volume.alias("has_volume"),
-            F.greatest(F.least(score, F.lit(fv.CONFIDENCE_MAX)), F.lit(0.0)).alias("confidence"),
-            reasons.alias("reasons"),
-        ),
-    )
+    fields = {
+        "series": safe_folder_name(F.when(c("title") != "", c("title")).otherwise(c("text"))),
+        "author": F.coalesce(F.try_element_at(c("authors"), F.lit(-1)), F.lit("")),
+        "volume": F.when(has_volume, digits_value(F.concat(c("jp"), c("vol"), c("tail")))),
+        "has_volume": has_volume,
+        "confidence": F.greatest(F.least(score, F.lit(fv.CONFIDENCE_MAX)), F.lit(0.0)),
+    }
+    if reasons:
+        fields["reasons"] = applied
+    df = computed_here(df, **{out: F.struct(*[v.alias(k) for k, v in fields.items()])})
     return df.drop(*[x for x in df.columns if x.startswith(f"_{out}_")])
 
 
@@ -381,16 +394,16 @@ def with_coverage(df: DataFrame, source: str, out: str = "coverage", literal_kin
         .when(has_volumes, volumes)
         .otherwise("")
     )
-    df = df.withColumn(
-        out,
-        F.struct(
+    df = computed_here(
+        df,
+        **{out: F.struct(
             c("kind").alias("kind"),
             c("vs").alias("volume_start"),
             c("ve").alias("volume_end"),
             c("cs").alias("chapter_start"),
             c("ce").alias("chapter_end"),
             label.alias("label"),
-        ),
+        )},
     )
     return df.drop(*[x for x in df.columns if x.startswith(prefix)])
 

@@ -67,6 +67,10 @@ def suffix_run(space: str) -> str:
     return f"(?:(?:{EDITION_TAIL}|{variant_tail(space)})[<u>]*)+\\z"
 
 
+# A run can only end in one of these; testing the last character first spares the search.
+SUFFIX_LAST = r"[\]】）)版本スクーロ黒ンnN炊正xXdD外編伝典けsSaAジき合][<u>]*\z"
+PAGE_LAST = r"[<d>\]】）)話][<u>]*\z"
+
 PAGE_TAIL = (
     r"(?:[<s>]*[-_]?[<s>]*)(?:p|pg|page)[<s>]*0*[<d>]{1,6}"
     r"(?:[<s>]*[\[【（(][^\]】）)]{1,80}[\]】）)])?[<s>]*"

@@ -1,6 +1,6 @@
 """Small text helpers, all built from JVM-side expressions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed_values as fv
@@ -66,3 +66,10 @@ def has_latin(c: Column) -> Column:
 def text_before(c: Column, pattern: str, ignore_case: bool) -> Column:
     """The text in front of the leftmost match."""
     return F.regexp_extract(c, rx.jvm(r"\A(.*?)(?:" + pattern + ")", ignore_case), 1)
+
+
+def computed_here(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a one-row generator.  Filters on them cannot be pushed below it, so
+    costly expressions are evaluated once instead of once per use in every later predicate."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
