@@ -101,7 +101,11 @@ def with_rating(title: Column, *ranks: Column) -> Column:
 
 
 def canonical_key(name: Column) -> Column:
-    bare = F.lower(trimmed(rating_split(name)["bare"]))
+    return key_of_bare(rating_split(name)["bare"])
+
+
+def key_of_bare(bare: Column) -> Column:
+    bare = F.lower(trimmed(bare))
     source = FULL_WIDTH_UPPER + FULL_WIDTH_LOWER + "０１２３４５６７８９" + fv.CANONICAL_KEY_DROPPED
     return F.translate(bare, source, ASCII_LOWER + ASCII_LOWER + "0123456789")
 
@@ -169,7 +173,7 @@ def edition_class(name: Column) -> Column:
 def legacy_folder_name(c: Column) -> Column:
     c = trimmed(c)
     for suffix in fv.LEGACY_FOLDER_SUFFIXES:
-        c = trimmed(F.when(c.endswith(suffix), F.left(c, F.length(c) - len(suffix))).otherwise(c))
+        c = trimmed(F.regexp_replace(c, rx.any_of([suffix]) + r"\z", ""))
     return c
 
 
@@ -437,12 +441,21 @@ def merged_coverage(coverage: Column) -> Column:
 
 
 # --- two-name comparison ----------------------------------------------------------------------
-def name_profile(name: Column) -> Column:
-    """What a comparison needs to know about a name."""
-    return F.struct(
-        name.alias("name"), canonical_key(name).alias("key"), has_spin_off(name).alias("spin"),
-        has_japanese(name).alias("jp"), has_latin(name).alias("latin"),
+def with_profile(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Adds struct ``out``: all that a comparison needs to know about a name, computed once."""
+    df = computed_here(
+        df, _rated=rating_split(F.col(source)), _trim=trimmed(F.col(source)), _ok=series_usable(F.col(source))
+    )
+    df = computed_here(
+        df, _key=key_of_bare(F.col("_rated.bare")), _spin=has_spin_off(F.col("_trim")),
+        _jp=has_japanese(F.col("_trim")), _latin=has_latin(F.col("_trim")),
+    )
+    fields = F.struct(
+        F.col(source).alias("name"), F.col("_key").alias("key"), F.col("_ok").alias("usable"),
+        F.col("_spin").alias("spin"), F.col("_jp").alias("jp"), F.col("_latin").alias("latin"),
+        F.length("_trim").alias("chars"), F.lower("_trim").alias("low"), rating_rank(F.col("_rated")).alias("rank"),
     )
+    return df.withColumn(out, fields).drop("_rated", "_trim", "_ok", "_key", "_spin", "_jp", "_latin")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -501,7 +514,7 @@ def pair_score(a: Column, b: Column) -> Column:
     no = verdict(F.lit(0.0), "")
     minor = close_enough(a["key"], b["key"])
     return (
-        F.when(~series_usable(a["name"]) | ~series_usable(b["name"]), no)
+        F.when(~a["usable"] | ~b["usable"], no)
         .when((a["key"] == "") | (b["key"] == ""), no)
         .when(a["key"] == b["key"], verdict(F.lit(1.0), fv.EXACT_REASON))
         .when(is_spin_off_prefix(a, b), verdict(F.lit(0.97), fv.SPIN_OFF_REASON))
@@ -512,27 +525,23 @@ def pair_score(a: Column, b: Column) -> Column:
     )
 
 
-def display_rank(name: Column) -> Column:
-    """Sort key (smaller is better) for names that hold no bilingual pair: main works first,
-    Japanese first, unmixed Japanese first, shorter, then lexical."""
-    jp = has_japanese(name)
+def display_rank(p: Column) -> Column:
+    """Sort key of a profile (smaller is better) where no bilingual pair is involved: main works
+    first, Japanese first, unmixed Japanese first, shorter, then lexical."""
     return F.struct(
-        has_spin_off(name).alias("spin"), (~jp).alias("not_jp"), (jp & has_latin(name)).alias("mixed"),
-        F.length(trimmed(name)).alias("chars"), F.lower(trimmed(name)).alias("low"),
+        p["spin"].alias("spin"), (~p["jp"]).alias("not_jp"), (p["jp"] & p["latin"]).alias("mixed"),
+        p["chars"].alias("chars"), p["low"].alias("low"),
     )
 
 
 def is_better_display(a: Column, b: Column) -> Column:
     """True when name ``a`` is the better display form than ``b`` (profiles)."""
-    ra, rb = display_rank(a["name"]), display_rank(b["name"])
-    au, bu = series_usable(a["name"]), series_usable(b["name"])
-    la, lb = F.length(trimmed(a["name"])), F.length(trimmed(b["name"]))
     return (
-        F.when(au != bu, au)
-        .when(~au, F.lit(False))
+        F.when(a["usable"] != b["usable"], a["usable"])
+        .when(~a["usable"], F.lit(False))
         .when(a["spin"] != b["spin"], ~a["spin"])
-        .when((a["key"] != b["key"]) & is_bilingual(a, b) & (la != lb), la < lb)
-        .otherwise(ra < rb)
+        .when((a["key"] != b["key"]) & (a["chars"] != b["chars"]) & is_bilingual(a, b), a["chars"] < b["chars"])
+        .otherwise(display_rank(a) < display_rank(b))
     )
 
 

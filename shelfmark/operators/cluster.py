@@ -47,15 +47,13 @@ def with_alias(df: DataFrame, index: DataFrame, series: str = "series", out: str
 
 # --- names and profiles ----------------------------------------------------------------------
 def distinct_names(rows: DataFrame) -> DataFrame:
-    """(series, ord, files, key, spin, jp, latin, pid): one row per distinct spelling.  ``pid``
+    """(series, ord, files, key, spin, jp, latin, pid, p): one row per distinct spelling.  ``pid``
     identifies all spellings that every rule treats alike."""
     names = rows.groupBy("series").agg(F.min("ord").alias("ord"), F.count("*").alias("files"))
-    return computed_here(names, _p=N.name_profile(F.col("series"))).select(
-        "series", "ord", "files", F.col("_p.key").alias("key"), F.col("_p.spin").alias("spin"),
-        F.col("_p.jp").alias("jp"), F.col("_p.latin").alias("latin"),
-        F.concat_ws(
-            "\x01", "_p.key", F.col("_p.spin").cast("int"), F.col("_p.jp").cast("int"), F.col("_p.latin").cast("int")
-        ).alias("pid"),
+    flag = lambda f: F.col(f"p.{f}").cast("int")
+    return N.with_profile(names, "series", "p").select(
+        "series", "ord", "files", "p.key", "p.spin", "p.jp", "p.latin",
+        F.concat_ws("\x01", "p.key", flag("spin"), flag("jp"), flag("latin")).alias("pid"), "p",
     )
 
 
@@ -234,7 +232,7 @@ def _canonical(members: DataFrame, bilingual: DataFrame, aliases: DataFrame | No
     per_key = members.groupBy("cluster", "key").agg(F.sum("files").alias("key_files"))
     most = per_key.groupBy("cluster").agg(F.max("key_files").alias("key_files"))
     tied = members.join(per_key.join(most, ["cluster", "key_files"]), ["cluster", "key"]).select(
-        "cluster", "series", "key", "pid", "ord", "spin", "jp", "latin", N.display_rank(F.col("series")).alias("r")
+        "cluster", "series", "pid", "ord", "spin", "p", N.display_rank(F.col("p")).alias("r")
     )
     main = tied.groupBy("cluster").agg(F.min("spin").alias("spin"))
     tied = tied.join(main, ["cluster", "spin"])
@@ -249,10 +247,9 @@ def _canonical(members: DataFrame, bilingual: DataFrame, aliases: DataFrame | No
     ordered = marked.join(state.where("any_linked").select("cluster"), "cluster", "left_semi")
     # Between two linked names only the best unlinked one can matter: reduce each such run.
     runs = running_total(ordered, ["cluster"], [F.col("ord")], F.col("linked").cast("int"), "run")
-    prof = F.struct(F.col("series").alias("name"), "key", "spin", "jp", "latin")
     reduced = (
         runs.groupBy("cluster", "run", "linked")
-        .agg(F.min_by(F.struct("ord", prof.alias("p")), F.struct("r", "ord")).alias("c"))
+        .agg(F.min_by(F.struct("ord", "p"), F.struct("r", "ord")).alias("c"))
         .groupBy("cluster").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     )
     folded = reduced.select(
@@ -268,7 +265,7 @@ def _canonical(members: DataFrame, bilingual: DataFrame, aliases: DataFrame | No
             F.min_by("canonical", "ord").alias("saved")
         )
         picked = picked.join(hits, "cluster", "left").select("cluster", F.coalesce("saved", "pick").alias("pick"))
-    ranks = members.groupBy("cluster").agg(F.max(N.rating_rank(N.rating_split(F.col("series")))).alias("rank"))
+    ranks = members.groupBy("cluster").agg(F.max("p.rank").alias("rank"))
     return picked.join(ranks, "cluster").select("cluster", N.with_rating(F.col("pick"), F.col("rank")).alias("canonical"))
 
 
