@@ -255,14 +255,41 @@ def review_choices(spark, sf):
     return report(spark, sf).choices.select("choice", "choice_series", "work_key", "edition", "volume")
 
 
-@query("destination_conflicts", X.upto("d3", "SELECT source, destination FROM d3 WHERE action = 'conflict'"))
+# Names as they are, before clustering, so that many targets lie on occupied paths.
+_PLAIN = [
+    ("u0", f"SELECT *, series1 AS series, '{OUT}/' || series1 || '/' || {S.base('source')} AS home, split_part(rel, '/', 1) = '{V.QUARANTINE}' AS quarantined FROM named WHERE series1 <> ''"),
+    ("uk", f"SELECT size, {S.canonical('work')} AS k, edition, sha256, arg_min(source, (quarantined, -epoch_us(modified), ord)) AS keeper FROM u0 GROUP BY ALL HAVING count(*) > 1"),
+    (
+        "u1",
+        "SELECT u0.source, CASE WHEN keeper IS NULL OR keeper = u0.source THEN CASE WHEN home = u0.source THEN 'keep' ELSE 'move' END WHEN quarantined THEN 'keep' ELSE 'duplicate' END AS action, "
+        "CASE WHEN keeper <> u0.source AND quarantined THEN u0.source ELSE home END AS destination "
+        f"FROM u0 LEFT JOIN uk ON u0.size = uk.size AND u0.sha256 = uk.sha256 AND u0.edition = uk.edition AND {S.canonical('work')} = uk.k",
+    ),
+    (
+        "u2",
+        "SELECT u1.source, destination, v.source IS NOT NULL AS freed FROM u1 JOIN lib ON lib.path = u1.destination LEFT JOIN (SELECT source FROM u1 WHERE action = 'duplicate') v "
+        "ON v.source = u1.destination WHERE u1.action IN ('move', 'keep') AND destination <> u1.source",
+    ),
+]
+
+
+def plain_conflicts(spark, sf):
+    def build():
+        rows = R.base_items(named(spark, sf).where("series <> ''"), OUT).withColumn("work_key", N.canonical_key(F.col("work")))
+        rows = pinned(rows)
+        return pinned(D.mark_conflicts(D.mark_duplicates(rows, D.exact_duplicates(rows, same_hash)), lib(spark, sf)))
+
+    return stage(spark, sf, "plain_conflicts", build)
+
+
+@query("destination_conflicts", X.upto("named", "SELECT source, destination FROM u2 WHERE NOT freed", _PLAIN))
 def destination_conflicts(spark, sf):
-    return report(spark, sf).items.where("action = 'conflict'").select("source", "destination")
+    return plain_conflicts(spark, sf).where("action = 'conflict'").select("source", "destination")
 
 
-@query("vacated_conflicts", X.upto("d3", "SELECT source, destination FROM d3 WHERE freed"))
+@query("vacated_conflicts", X.upto("named", "SELECT source, destination FROM u2 WHERE freed", _PLAIN))
 def vacated_conflicts(spark, sf):
-    return report(spark, sf).items.where("reason LIKE 'destination will be vacated%'").select("source", "destination")
+    return plain_conflicts(spark, sf).where("reason LIKE 'destination will be vacated%'").select("source", "destination")
 
 
 @query(
@@ -351,19 +378,24 @@ def selection_errors(spark, sf):
     return M.selection_errors(r.items, r.choices, selections(spark, sf).where("NOT choice LIKE '%1'"))
 
 
+_TURN = "(lower({0}series), {0}series, {0}volume IS NULL, coalesce({0}volume, 0), {0}source)"
+
+
 @query(
     "apply_manifest",
     X.upto(
         "fin",
-        "SELECT path, coalesce(moved_to, at) AS new_path, CASE WHEN moved_to IS NOT NULL THEN 'moved' WHEN at <> path THEN 'quarantined' WHEN wanted THEN 'skipped' ELSE 'kept' END AS outcome FROM ("
-        "SELECT a1.path, a1.at, w.wanted, d.target AS moved_to FROM a1 LEFT JOIN (SELECT source AS path, true AS wanted FROM mv) w ON w.path = a1.path LEFT JOIN done d ON d.path = a1.path)",
+        "SELECT path, coalesce(moved_to, here) AS new_path, CASE WHEN moved_to IS NOT NULL THEN 'moved' WHEN here <> path THEN 'quarantined' WHEN wanted THEN 'skipped' ELSE 'kept' END AS outcome FROM ("
+        "SELECT a1.path, a1.here, w.wanted, d.target AS moved_to FROM a1 LEFT JOIN (SELECT source AS path, true AS wanted FROM mv) w ON w.path = a1.path LEFT JOIN won d ON d.path = a1.path)",
         [
-            ("a1", "SELECT lib.path, coalesce(q.destination, lib.path) AS at FROM lib LEFT JOIN (SELECT source, destination FROM fin WHERE action IN ('duplicate', 'superseded')) q ON q.source = lib.path"),
-            ("mv", "SELECT source, destination, ord FROM fin WHERE action = 'move' AND source <> destination"),
-            ("cm", "SELECT mv.source AS path, mv.destination AS target, mv.ord, a1.path AS holder, h.ord AS holder_ord FROM mv LEFT JOIN a1 ON a1.at = mv.destination LEFT JOIN mv h ON h.source = a1.path"),
-            ("fr", "SELECT target, arg_min(path, ord) AS path FROM cm WHERE holder IS NULL GROUP BY 1"),
-            ("lt", "SELECT cm.target, arg_min(cm.path, cm.ord) AS path FROM cm JOIN fr ON fr.path = cm.holder WHERE cm.ord > holder_ord GROUP BY 1"),
-            ("done", "SELECT target, path FROM fr UNION ALL SELECT target, path FROM lt"),
+            ("a1", "SELECT lib.path, coalesce(q.destination, lib.path) AS here FROM lib LEFT JOIN (SELECT source, destination FROM fin WHERE action IN ('duplicate', 'superseded')) q ON q.source = lib.path"),
+            ("mv", f"SELECT source, destination, {_TURN.format('')} AS turn FROM fin WHERE action = 'move' AND source <> destination"),
+            ("cm", "SELECT mv.source AS path, mv.destination AS target, mv.turn, a1.path AS holder FROM mv LEFT JOIN a1 ON a1.here = mv.destination"),
+            (
+                "won(target, path, turn)",
+                "SELECT target, arg_min(path, turn), min(turn) FROM cm WHERE holder IS NULL GROUP BY 1 UNION ALL "
+                "SELECT target, path, turn FROM (SELECT cm.target, cm.path, cm.turn, row_number() OVER (PARTITION BY cm.target ORDER BY cm.turn) AS k FROM cm JOIN won ON won.path = cm.holder WHERE cm.turn > won.turn) WHERE k = 1",
+            ),
         ],
     ),
 )

@@ -231,3 +231,62 @@ def parsed(src, col, existing=False, p="p_"):
             p + "confidence": f"greatest(least({score}, CAST(0.99 AS DOUBLE)), CAST(0 AS DOUBLE))",
         },
     )
+
+
+def coverage(src, col, p="v_"):
+    """Adds p_kind, p_vs, p_ve, p_cs, p_ce, p_label (literal rule order)."""
+    t, z = trim_u(col), "z" + p
+
+    def n(pattern, i):
+        return number(ext(t, pattern, i, True))
+
+    s = stage(
+        src,
+        **{
+            z + "v1": n(rx.COVERAGE_VOLUMES, 1), z + "v2": n(rx.COVERAGE_VOLUMES, 2),
+            z + "a1": n(rx.COVERAGE_JP_CHAPTERS, 1), z + "a2": n(rx.COVERAGE_JP_CHAPTERS, 2),
+            z + "b1": n(rx.COVERAGE_CHAPTERS, 1), z + "b2": n(rx.COVERAGE_CHAPTERS, 2),
+            z + "one": f"coalesce({n(rx.COVERAGE_JP_CHAPTER, 1)}, {n(rx.COVERAGE_CHAPTER, 1)})",
+        },
+    )
+    s = stage(
+        s,
+        **{
+            p + "vs": f"coalesce(least({z}v1, {z}v2), 0)", p + "ve": f"coalesce(greatest({z}v1, {z}v2), 0)",
+            z + "c1": f"CASE WHEN least({z}a1, {z}a2) > 0 THEN least({z}a1, {z}a2) ELSE coalesce(least({z}b1, {z}b2), least({z}a1, {z}a2)) END",
+            z + "c2": f"CASE WHEN least({z}a1, {z}a2) > 0 THEN greatest({z}a1, {z}a2) ELSE coalesce(greatest({z}b1, {z}b2), greatest({z}a1, {z}a2)) END",
+        },
+    )
+    s = stage(s, **{z + "need": f"(coalesce({z}c1, 0) = 0 AND {z}one IS NOT NULL)"})
+    s = stage(
+        s,
+        **{
+            p + "cs": f"CASE WHEN {z}need THEN {z}one ELSE coalesce({z}c1, 0) END",
+            p + "ce": f"CASE WHEN {z}need THEN {z}one ELSE coalesce({z}c2, 0) END",
+            p + "kind": f"CASE WHEN {z}v1 IS NOT NULL AND least({z}a1, {z}a2) = 0 AND {z}b1 IS NOT NULL THEN 'chapter' "
+            f"WHEN {z}v1 IS NOT NULL AND {z}c1 IS NOT NULL THEN 'mixed' WHEN {z}c1 IS NOT NULL THEN 'chapter' "
+            f"WHEN {z}v1 IS NOT NULL AND {z}need THEN 'mixed' WHEN {z}v1 IS NOT NULL THEN 'volume' ELSE '' END",
+        },
+    )
+    v, c = label("巻", p + "vs", p + "ve"), label("話", p + "cs", p + "ce")
+    both = f"concat_ws(' / ', CASE WHEN {p}vs > 0 THEN {v} END, CASE WHEN {p}cs > 0 THEN {c} END)"
+    return stage(
+        s, **{p + "label": f"CASE {p}kind WHEN 'chapter' THEN {c} WHEN 'mixed' THEN {both} WHEN 'volume' THEN {v} ELSE '' END"}
+    )
+
+
+def label(unit, a, b):
+    return f"CASE WHEN {a} = 0 THEN '' WHEN {b} = 0 OR {a} = {b} THEN '{unit} ' || {a} ELSE '{unit} ' || {a} || '–' || {b} END"
+
+
+def merged(p="v_"):
+    """Aggregate columns kind, volume_start.. over p_vs.. rows."""
+    vs = f"coalesce(min(CASE WHEN {p}vs > 0 THEN {p}vs END), 0)"
+    ve = f"coalesce(max(CASE WHEN {p}vs > 0 THEN {p}ve END), 0)"
+    cs = f"coalesce(min(CASE WHEN {p}cs > 0 THEN {p}cs END), 0)"
+    ce = f"coalesce(max(CASE WHEN {p}cs > 0 THEN {p}ce END), 0)"
+    return (
+        f"CASE WHEN {vs} > 0 AND {cs} > 0 THEN 'mixed' WHEN {vs} > 0 THEN 'volume' WHEN {cs} > 0 THEN 'chapter' ELSE 'unknown' END AS kind, "
+        f"{vs} AS volume_start, {ve} AS volume_end, {cs} AS chapter_start, {ce} AS chapter_end, "
+        f"concat_ws(' / ', CASE WHEN {vs} > 0 THEN {label('巻', vs, ve)} END, CASE WHEN {cs} > 0 THEN {label('話', cs, ce)} END) AS label"
+    )

@@ -47,7 +47,8 @@ def clean_path(c: Column) -> Column:
             lambda acc, _: F.regexp_replace(acc, r"(?:\A|(?<=/))(?!\.\./)[^/]+/\.\.(?:/|\z)", ""),
         ),
     ).otherwise(c)
-    out = F.regexp_replace(folded, r"(?<=[^/])/\z", "")
+    rooted = F.regexp_replace(folded, r"\A/(?:\.\.(?:/|\z))+", "/")
+    out = F.regexp_replace(rooted, r"(?<=[^/])/\z", "")
     return F.when(out == "", F.lit(".")).otherwise(out)
 
 
