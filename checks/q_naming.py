@@ -140,8 +140,8 @@ def rating_split(spark, sf):
 
 @query(
     "rating_apply",
-    f"WITH p AS (SELECT p_series AS series FROM ({S.parsed(LIB, 'name')})), r AS ({S.stage('SELECT series FROM p', k=S.canonical('series'), c=S.rating_count('series'), m=S.rating_marks('series'), b=S.rating_bare('series'))}) "
-    "SELECT k AS key, CASE WHEN max((c, m))[2] = '' THEN min(b) ELSE max((c, m))[2] || ' ' || min(b) END AS title FROM r GROUP BY k",
+    f"WITH p AS (SELECT DISTINCT p_series AS series FROM ({S.parsed(LIB, 'name')})), r AS ({S.stage('SELECT series FROM p', k=S.canonical('series'), c=S.rating_count('series'), m=S.rating_marks('series'), b=S.rating_bare('series'))}) "
+    "SELECT k AS key, CASE WHEN m = '' THEN b ELSE m || ' ' || b END AS title FROM (SELECT k, min(b) AS b, substr(max(lpad(CAST(c AS VARCHAR), 3, '0') || m), 4) AS m FROM r GROUP BY k)",
 )
 def rating_apply(spark, sf):
     rows = N.with_profile(N.with_parsed_name(lib(spark, sf), "name").select("parsed.series"), "series", "p")
