@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import computed_here
-from shelfmark.operators.stable import pinned
+from shelfmark.operators.stable import pinned, spread
 
 GRAM = 5
 BUCKETS = 1 << 18   # rows of the gram frequency table; fixed, so broadcasting it is safe
@@ -48,14 +48,18 @@ def _verified(pairs: DataFrame, min_similarity: float) -> DataFrame:
     )
 
 
-def _self_join(keys: DataFrame) -> DataFrame:
-    """keys(scope, block, text) -> (scope, a, b), a before b."""
-    left = keys.select("scope", "block", F.col("text").alias("a"))
-    right = keys.select("scope", "block", F.col("text").alias("b"))
-    return left.join(right, ["scope", "block"]).where("a < b").select("scope", "a", "b")
+def _self_join(keys: DataFrame, share: float) -> DataFrame:
+    """keys(scope, block, text, at) -> (scope, a, b), a before b, lengths and the place of the
+    shared gram within the allowed edits (``at`` is NULL where the place is not unique)."""
+    left = keys.select("scope", "block", F.col("text").alias("a"), F.col("at").alias("at_a"))
+    right = keys.select("scope", "block", F.col("text").alias("b"), F.col("at").alias("at_b"))
+    la, lb = F.length("a"), F.length("b")
+    allowed = _edits(F.greatest(la, lb), share)
+    near = (F.abs(la - lb) <= allowed) & F.coalesce(F.abs(F.col("at_a") - F.col("at_b")) <= allowed, F.lit(True))
+    return left.join(right, ["scope", "block"]).where((F.col("a") < F.col("b")) & near).select("scope", "a", "b")
 
 
-def _one_edit_pairs(texts: DataFrame) -> DataFrame:
+def _one_edit_pairs(texts: DataFrame, share: float) -> DataFrame:
     """Texts that share a one-deletion variant.  A variant is shared by at most
     (length + 1) x alphabet distinct texts, whatever the table holds."""
     n = F.length("text")
@@ -64,9 +68,10 @@ def _one_edit_pairs(texts: DataFrame) -> DataFrame:
         lambda i: F.concat(F.left(F.col("text"), i - 1), F.substr(F.col("text"), i + 1)),
     )
     keys = texts.select(
-        "scope", "text", F.explode(F.array_distinct(F.concat(F.array("text"), cut))).alias("block")
+        "scope", "text", F.explode(F.array_distinct(F.concat(F.array("text"), cut))).alias("block"),
+        F.lit(None).cast("int").alias("at"),
     )
-    return _self_join(keys)
+    return _self_join(keys, share)
 
 
 def _gram_keys(texts: DataFrame, share: float) -> DataFrame:
@@ -100,7 +105,11 @@ def _gram_keys(texts: DataFrame, share: float) -> DataFrame:
     )
     sizes = rows.groupBy("scope", "gram").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > HOT).select("scope", "gram")
-    cold_keys = rows.join(hot, ["scope", "gram"], "left_anti").select("scope", "text", F.col("gram").alias("block"))
+    first = F.call_function("locate", F.col("gram"), F.col("text"))
+    once = F.call_function("locate", F.col("gram"), F.col("text"), first + 1) == 0
+    cold_keys = rows.join(hot, ["scope", "gram"], "left_anti").select(
+        "scope", "text", F.col("gram").alias("block"), F.when(once, first).alias("at")
+    )
     hot_rows = rows.join(hot, ["scope", "gram"], "left_semi").select("scope", "text", "gram")
     paired = hot_rows.join(ranked, ["scope", "text"]).select(
         "scope", "text", "gram", "needed", "distinct_grams", F.explode("front").alias("other")
@@ -112,7 +121,8 @@ def _gram_keys(texts: DataFrame, share: float) -> DataFrame:
     single_keys = (
         paired.where("distinct_grams < needed + 1").select("scope", "text", F.col("gram").alias("block")).distinct()
     )
-    return cold_keys.unionByName(pair_keys.distinct()).unionByName(single_keys)
+    refined = pair_keys.unionByName(single_keys).distinct().withColumn("at", F.lit(None).cast("int"))
+    return cold_keys.unionByName(refined)
 
 
 def near_pairs(texts: DataFrame, min_similarity: float) -> DataFrame:
@@ -120,9 +130,10 @@ def near_pairs(texts: DataFrame, min_similarity: float) -> DataFrame:
     edit similarity reaches ``min_similarity`` (0.86 or more).  ``texts`` is distinct (scope, text)."""
     share = round(1.0 - min_similarity, 10)
     two_edits_from = next(n for n in range(10, 40) if int(n * share + 1e-9) >= 2)
+    texts = spread(texts, "scope", "text")
     short = texts.where(F.length("text").between(10, two_edits_from - 1))
     long = texts.where(F.length("text") >= two_edits_from - 2)
-    candidates = _one_edit_pairs(short).unionByName(_self_join(_gram_keys(long, share)))
+    candidates = _one_edit_pairs(short, share).unionByName(_self_join(_gram_keys(long, share), share))
     return _verified(candidates, min_similarity)
 
 

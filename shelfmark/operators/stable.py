@@ -17,3 +17,11 @@ def pinned(df: DataFrame) -> DataFrame:
     """A materialised copy: computed once, read by every later branch."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash the rows over all cores ahead of a stage that does much work per byte.  A small table
+    would otherwise be coalesced by size into one or two tasks."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
