@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import computed_here
 from shelfmark.operators.stable import pinned, spread
 
-GRAM = 5
+GRAM = 5            # long enough to be rare, short enough that true pairs of any length share one
+LONG_GRAMS = (8, 6)  # the same for longer texts, where they are far rarer; the first that can hold
 BUCKETS = 1 << 18   # rows of the gram frequency table; fixed, so broadcasting it is safe
 HOT = 500           # a gram shared by more texts than this is refined to gram pairs
 
@@ -74,13 +75,19 @@ def _one_edit_pairs(texts: DataFrame, share: float) -> DataFrame:
     return _self_join(keys, share)
 
 
-def _gram_keys(texts: DataFrame, share: float) -> DataFrame:
+def _certain_from(gram: int, share: float) -> int:
+    """Least length from which texts within the allowed edits surely share a gram of this size."""
+    sure = [n - (gram - 1) - gram * int(n * share + 1e-9) >= 1 for n in range(400)]
+    return len(sure) - sure[::-1].index(False)
+
+
+def _gram_keys(texts: DataFrame, share: float, gram_size: int = GRAM) -> DataFrame:
     grams = texts.select(
         "scope", "text",
         F.array_distinct(
             F.transform(
-                F.sequence(F.lit(1), F.length("text") - (GRAM - 1)),
-                lambda i: F.substr(F.col("text"), i, F.lit(GRAM)),
+                F.sequence(F.lit(1), F.length("text") - (gram_size - 1)),
+                lambda i: F.substr(F.col("text"), i, F.lit(gram_size)),
             )
         ).alias("grams"),
     )
@@ -88,7 +95,7 @@ def _gram_keys(texts: DataFrame, share: float) -> DataFrame:
         "bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS))
     )
     weight = tokens.groupBy("bucket").agg(F.count("*").alias("weight"))
-    needed = (GRAM * _edits_with_any_partner(F.length("text"), share) + 1).alias("needed")
+    needed = (gram_size * _edits_with_any_partner(F.length("text"), share) + 1).alias("needed")
     ranked = (
         tokens.join(F.broadcast(weight), "bucket")
         .groupBy("scope", "text")
@@ -129,14 +136,27 @@ def near_pairs(texts: DataFrame, min_similarity: float) -> DataFrame:
     """(scope, a, b, sim): all pairs of texts of one scope, both ten characters or longer, whose
     edit similarity reaches ``min_similarity`` (0.86 or more).  ``texts`` is distinct (scope, text)."""
     share = round(1.0 - min_similarity, 10)
-    two_edits_from = next(n for n in range(10, 40) if int(n * share + 1e-9) >= 2)
     texts = spread(texts, "scope", "text")
-    short = texts.where(F.length("text").between(10, two_edits_from - 1))
-    long = texts.where(F.length("text") >= two_edits_from - 2)
-    candidates = _one_edit_pairs(short, share).unionByName(_self_join(_gram_keys(long, share), share))
+    two_edits_from = next(n for n in range(10, 40) if int(n * share + 1e-9) >= 2)
+    long_gram = next(g for g in LONG_GRAMS if g * share < 0.9)
+    long_from = _certain_from(long_gram, share)
+    n = F.length("text")
+    # Pairs are grouped by the length of their longer text; its partner may be a little shorter.
+    one_edit = texts.where(n.between(10, two_edits_from - 1))
+    middle = texts.where(n.between(_shortest_partner(two_edits_from, share), long_from - 1))
+    long = texts.where(n >= _shortest_partner(long_from, share))
+    candidates = (
+        _one_edit_pairs(one_edit, share)
+        .unionByName(_self_join(_gram_keys(middle, share), share))
+        .unionByName(_self_join(_gram_keys(long, share, long_gram), share))
+    )
     return _verified(candidates, min_similarity)
 
 
+def _shortest_partner(longest: int, share: float) -> int:
+    return longest - int(longest * share + 1e-9)
+
+
 def prefix_pairs(shorts: DataFrame, longs: DataFrame, min_length: int, from_end: bool = False) -> DataFrame:
     """(scope, short, long) where short is a proper prefix (suffix) of long.  Both inputs are
     distinct (scope, text).  A long text yields one key per length, so output grows linearly."""
