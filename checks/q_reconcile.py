@@ -489,3 +489,26 @@ def partial_recovery(spark, sf):
 @query("recovery_summary", _PART_OUT + "SELECT count(*) AS found, count_if(outcome = 'promote') AS promoted, count_if(outcome = 'stale') AS removed_stale, count_if(outcome = 'invalid') AS invalid_kept FROM r")
 def recovery_summary(spark, sf):
     return M.recovery_summary(_recovered(spark, sf))
+
+
+# The flagship question without clustering: which copies of each volume are out of date?
+_GROUPED = (
+    "vg0",
+    f"SELECT {S.canonical('work')} AS k, edition, volume, max(modified) AS newest, list(modified) AS ms, arg_min(source, (-epoch_us(modified), ord)) AS winner "
+    "FROM u0 WHERE has_volume GROUP BY 1, 2, 3 HAVING count(*) > 1",
+)
+
+
+@query(
+    "superseded_volumes",
+    X.upto(
+        "named",
+        "SELECT u0.series, u0.volume, count(*) AS superseded FROM u0 JOIN vg0 ON vg0.edition = u0.edition AND vg0.volume = u0.volume "
+        f"AND vg0.k = {S.canonical('u0.work')} WHERE len(list_filter(ms, lambda m: m = newest)) = 1 AND source <> winner AND NOT quarantined GROUP BY 1, 2",
+        [_PLAIN[0], _GROUPED],
+    ),
+)
+def superseded_volumes(spark, sf):
+    rows = R.base_items(named(spark, sf).where("series <> ''"), OUT).withColumn("work_key", N.canonical_key(F.col("work")))
+    marked, _ = D.mark_variants(pinned(rows))
+    return marked.where("action = 'superseded'").groupBy("series", "volume").agg(F.count("*").alias("superseded"))
