@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, langid
+from shelfmark.llm import decontaminate, langid, packing, token_files
 from shelfmark.llm.common import fold_of, table
 
 
+def tokenizer_file(name: str) -> str:
+    """A public vocabulary file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(docs))
@@ -28,7 +35,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read(spark, token_files.write(docs, tokenizer_file("word_bpe_49k.json"), end_id=2))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=packing.Capacity(tokens=2048))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op9_token_files, op10_best_fit_packing)}
 
 _OP2 = r"""
 WITH w AS MATERIALIZED (
