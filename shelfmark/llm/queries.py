@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, langid, packing, token_files
+from shelfmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash, token_files
 from shelfmark.llm.common import fold_of, table
 
 
@@ -35,6 +35,23 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.deduplicated(docs, min_docs=10, keep="none")
+    return out.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_of(table(spark, sf_dir, "documents"), distance=3)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.read(spark, token_files.write(docs, tokenizer_file("word_bpe_49k.json"), end_id=2))
@@ -45,7 +62,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=packing.Capacity(tokens=2048))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op9_token_files, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_decontaminate, op4_exact_dedup, op5_line_dedup, op8_simhash, op9_token_files, op10_best_fit_packing,
+)}
 
 _OP2 = r"""
 WITH w AS MATERIALIZED (
@@ -67,4 +86,20 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hi
   sha256(coalesce(item.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w.w) AS contaminated
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
-SQL = {"op2_decontaminate": _OP2}
+_OP4 = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)"""
+
+_OP5 = r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, i, s[i] AS line, translate(regexp_replace(regexp_replace(s[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i)),
+r AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT l.*, r.key IS NOT NULL AS gone FROM l LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
+SQL = {"op2_decontaminate": _OP2, "op4_exact_dedup": _OP4, "op5_line_dedup": _OP5}
