@@ -186,8 +186,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose language is known and scored at least ``least``."""
+def accepted(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose language is found (not ``und``) and scored at least ``least``."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
