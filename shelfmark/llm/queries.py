@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash, token_files
+from shelfmark.llm import chat, decontaminate, exact_dedup, langid, line_dedup, packing, simhash, token_files
 from shelfmark.llm.common import fold_of, table
 
 
@@ -48,6 +48,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -7 AS conv_id, turn, role, '{said}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    read = chat.read_back(chat.windows(turns.union(extra), budget=512, history=128))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("chars").alias("formatted_chars"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(table(spark, sf_dir, "documents"), distance=3)
 
@@ -63,7 +76,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_decontaminate, op4_exact_dedup, op5_line_dedup, op8_simhash, op9_token_files, op10_best_fit_packing,
+    op1_language_id, op2_decontaminate, op4_exact_dedup, op5_line_dedup, op6_chat_format, op8_simhash, op9_token_files,
+    op10_best_fit_packing,
 )}
 
 _OP2 = r"""
@@ -102,4 +116,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
-SQL = {"op2_decontaminate": _OP2, "op4_exact_dedup": _OP4, "op5_line_dedup": _OP5}
+_OP6 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, replace(role || '|' || text, chr(92), chr(92) || chr(92)) AS x,
+  CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\x20\x09-\x0D\p{L}\p{N}_]')) + 4 AS BIGINT) AS tokens,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM c),
+t AS (SELECT *, 32 + length(x) + len(regexp_extract_all(x, '<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|</?s>|\[/?INST\]')) AS chars FROM e),
+s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) AS stop, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM t),
+y AS (SELECT conv_id, tokens AS sys, chars AS sys_chars FROM s WHERE k = 1 AND role = 'system' AND total > tokens),
+n AS (SELECT s.*, stop - tokens AS start, coalesce(sys, 0) AS sys, coalesce(sys_chars, 0) AS sys_chars, greatest(384 - coalesce(sys, 0), 128) AS room
+  FROM s LEFT JOIN y USING (conv_id) WHERE k > 1 OR y.sys IS NULL),
+b AS (SELECT *, min(start) OVER (PARTITION BY conv_id, (start - sys) // room) AS begin FROM n),
+f AS (SELECT *, CASE WHEN stop - begin > room THEN start ELSE begin END AS first FROM b),
+w AS (SELECT DISTINCT conv_id, first, sys_chars FROM f),
+z AS (SELECT conv_id, sum(chars) AS chars FROM (SELECT conv_id, sys_chars AS chars FROM w UNION ALL SELECT conv_id, chars FROM f
+  UNION ALL SELECT w.conv_id, chars FROM w JOIN f USING (conv_id) WHERE f.first < w.first AND f.start >= w.first - 128) GROUP BY conv_id)
+SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, min(z.chars)::BIGINT AS formatted_chars
+FROM s JOIN z USING (conv_id) GROUP BY s.conv_id"""
+
+SQL = {"op2_decontaminate": _OP2, "op4_exact_dedup": _OP4, "op5_line_dedup": _OP5, "op6_chat_format": _OP6}
