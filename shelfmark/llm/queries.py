@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, decontaminate, exact_dedup, langid, line_dedup, packing, simhash, token_files
+from shelfmark.llm import (
+    chat, decontaminate, exact_dedup, langid, line_dedup, packing, quality, simhash, token_files, toxicity,
+)
 from shelfmark.llm.common import fold_of, table
 
 
@@ -35,6 +37,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", F.coalesce(fold_of("doc_id") == 0, F.lit(True)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -61,6 +72,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sites = docs.select("doc_id", "text", F.col("source").cast("string").alias("host"), F.lit("").alias("path"))
+    rows = quality.with_sites(quality.evidence(sites, quality.fit(docs, labels)), table(spark, sf_dir, "pages"))
+    return quality.posteriors(rows, labels).select(
+        "doc_id", F.coalesce(fold_of("doc_id") == 0, F.lit(True)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("p").alias("document_score"), "host_mean", "path_mean",
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(table(spark, sf_dir, "documents"), distance=3)
 
@@ -76,8 +97,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_decontaminate, op4_exact_dedup, op5_line_dedup, op6_chat_format, op8_simhash, op9_token_files,
-    op10_best_fit_packing,
+    op1_language_id, op2_decontaminate, op3_toxicity, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_quality,
+    op8_simhash, op9_token_files, op10_best_fit_packing,
 )}
 
 _OP2 = r"""
