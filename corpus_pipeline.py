@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import decontaminate, langid, line_dedup, packing, simhash
-from shelfmark.llm.common import table, written
+from shelfmark.llm.common import guarded, table, written
 from shelfmark.llm.queries import tokenizer_file
 
 
@@ -28,11 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicated(docs, min_docs=10, keep="none")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*docs.columns)
+    def run(docs: DataFrame) -> DataFrame:
+        out = line_dedup.deduplicated(docs, min_docs=10, keep="none")
+        if "n_chars" in docs.columns:
+            kind = docs.schema["n_chars"].dataType
+            length = F.when(F.col("_n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+            out = out.withColumn("n_chars", length)
+        return out
+
+    return guarded(docs, ["_n_lines", "_n_dropped", "_drop"], run)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def guarded(docs: DataFrame, taken: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run(docs)`` with the columns of ``docs``, whatever their names: those that an operator's own columns
+    (``taken``) would clash with are renamed meanwhile."""
+    away = {c: f"{c}_kept_{k}" for k, c in enumerate(docs.columns) if c.lower() in {t.lower() for t in taken}}
+    out = run(docs.withColumnsRenamed(away))
+    return out.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def fold_of(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 5.  NULL for a NULL id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5

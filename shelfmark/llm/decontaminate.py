@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import small_batches
+from shelfmark.llm.common import guarded, small_batches
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -233,7 +233,7 @@ _TYPES = {"_spans": pa.list_(pa.list_(pa.int64())), "_items": pa.list_(pa.string
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, spans (merged [first, end) word ranges to remove) and items (sorted ids of
-    items found) as columns ``_n_words``, ``_spans`` and ``_items``; all other columns are kept."""
+    items found) as columns ``_n_words``, ``_spans`` and ``_items`` (replacing any of these names); all others are kept."""
     spark = docs.sparkSession
     small_batches(spark)
     out = docs.withColumns({
@@ -295,4 +295,4 @@ def contaminated() -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, that are not contaminated."""
-    return contamination(docs, benchmark).where(~contaminated()).drop("_n_words", "_spans", "_items")
+    return guarded(docs, ["_n_words", "_spans", "_items"], lambda d: contamination(d, benchmark).where(~contaminated()))

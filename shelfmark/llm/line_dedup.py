@@ -67,11 +67,13 @@ def _filter(docs: DataFrame) -> np.ndarray:
 
 
 def deduplicated(docs: DataFrame, min_docs: int = 2, keep: str = "first", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and columns ``_n_lines`` and ``_n_dropped``."""
+    """``docs`` with repeated lines taken out of ``text``, and columns ``_n_lines`` and ``_n_dropped`` (replacing
+    any of these names, or of ``_drop``)."""
     if min_docs < 2 or keep not in ("first", "none"):
         raise ValueError("min_docs is 2 or more, keep is first or none")
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop("_n_lines", "_n_dropped", "_drop")
     twice = spark.sparkContext.broadcast(_filter(docs))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     first = keep == "first"
@@ -83,7 +85,7 @@ def deduplicated(docs: DataFrame, min_docs: int = 2, keep: str = "first", broadc
             for doc_id, text in zip(ids, b["text"].to_pylist()):
                 hit = suspected(text, twice.value)
                 n.update(hit)
-                if first:
+                if first and hit:
                     at = (doc_id is None, doc_id, xxhash.xxh64_intdigest(text) >> 1)
                     for k in hit:
                         if k not in least or at < least[k]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import small_batches, written
+from shelfmark.llm.common import guarded, small_batches, written
 from shelfmark.operators.components import components
 
 SHINGLE, SEED = 3, 42
@@ -159,7 +159,10 @@ def components_of(docs: DataFrame, distance: int = 3, blocks: int = 6, shingle:
 def survivors(docs: DataFrame, distance: int = 3, blocks: int = 6, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns kept: one of each component, that of the smallest doc_id."""
     small_batches(docs.sparkSession)
-    rows = written(_fingerprints(docs, shingle), "simhash-documents")
-    named = _components(rows.select("doc_id", "_print", "_row"), distance, blocks)
-    stay = named.select(F.col("keep._row").alias("_row")).distinct()
-    return rows.join(stay, "_row", "left_semi").drop("_print", "_row")
+
+    def run(docs: DataFrame) -> DataFrame:
+        rows = written(_fingerprints(docs, shingle), "simhash-documents")
+        named = _components(rows.select("doc_id", "_print", "_row"), distance, blocks)
+        return rows.join(named.select(F.col("keep._row").alias("_row")).distinct(), "_row", "left_semi")
+
+    return guarded(docs, ["_print", "_row"], run)
