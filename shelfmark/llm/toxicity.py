@@ -5,7 +5,7 @@ Small transducers read the symbols of a clause: ``negation`` marks what follows
 ``reported`` what follows a reporting verb, ``target`` what shares the clause with a person spoken to or about, and
 ``threat`` a threat verb whose target follows within four words.  Their composition is one table of states, so a
 clause is scored in one pass; each insult adds its weight to the path it was read on (plain, targeted, negated,
-reported), each completed threat to its own.  A logistic regression over the path sums gives the score, so
+reported), each completed threat to its own.  A logistic regression over the path sums and their density gives the score, so
 the labels decide how much a negated or reported insult still counts.
 
 The insult lexicon is learned: words and word beginnings whose log odds of standing in toxic documents are
@@ -43,8 +43,11 @@ CUES = {
     REPORT: "said says wrote called quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó",
 }
 BEGINNINGS = range(3, 9)
+#: Log odds from which a form is an insult: fifty times as usual in toxic documents.
+LEAST_ODDS = 4.0
 CACHE = 300_000
 PATHS = ("plain", "targeted", "negated", "reported", "threat")
+MEASURES = len(PATHS) + 1
 
 
 def forms_of(word: str) -> list[str]:
@@ -136,7 +139,7 @@ class Reader(dict):
         return got
 
     def paths(self, text: str | None) -> list[float]:
-        """log(1 + sum) of each path over all clauses."""
+        """log(1 + sum) of each path over all clauses, and of all paths for a hundred words."""
         total = dict.fromkeys(PATHS, 0.0)
         read = list(map(self.__getitem__, TOKEN.findall(text.lower()))) if text else []
         hot = [i for i, (s, _) in enumerate(read) if s in (INSULT, THREAT)]
@@ -152,7 +155,7 @@ class Reader(dict):
                 done += 1
             for path, x in clause_paths(*map(list, zip(*read[first:done]))).items():
                 total[path] += x
-        return [math.log1p(total[p]) for p in PATHS]
+        return [math.log1p(x) for x in (*total.values(), 100 * sum(total.values()) / max(1, len(read)))]
 
 
 def _counts(lexicon: set[str] | None):
@@ -190,9 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, entries: int = 5
     for form, p in pos.items():
         n = neg.get(form, 0)
         odds = math.log((p + 0.5) / (pos_n + 1)) - math.log((n + 0.5) / (neg_n + 1))
-        if odds - 2.5 * math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)) > 0.5 and odds > 2:
+        if odds > LEAST_ODDS and odds - 2.5 * math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)) > 1:
             lexicon[form] = min(odds, 6.0)
-    rows = np.array([[*r["x"], r["y"]] for r in _paths(train, lexicon).collect()]).reshape(-1, len(PATHS) + 1)
+    rows = np.array([[*r["x"], r["y"]] for r in _paths(train, lexicon).collect()]).reshape(-1, MEASURES + 1)
     prior = counts[1] / (counts[0] + counts[1])
     return Model(lexicon, logistic.fit(rows[:, :-1], rows[:, -1], prior), prior)
 
@@ -217,7 +220,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shipped.value
         reader = Reader(m.lexicon)
         for b in batches:
-            x = np.array([reader.paths(t) for t in b["text"].to_pylist()]).reshape(-1, len(PATHS))
+            x = np.array([reader.paths(t) for t in b["text"].to_pylist()]).reshape(-1, MEASURES)
             s = logistic.sigmoid(m.regression.logit(x)) if m.regression else np.full(len(x), m.share)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s, pa.float64())], ["doc_id", "score"])
 
