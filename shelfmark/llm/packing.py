@@ -88,8 +88,8 @@ def plan(counts: dict[int, int], capacity: Capacity, rule: str = "norm", weights
                 room, available, before = rest[g], int(many[g]), inside[g]
             else:
                 g, room, available, before = None, full, left, None
-            # By norm, a sequence that took a piece is the best fit for the next one too.
-            times = min(left, int((room // item).min())) if rule == "norm" else 1
+            # By norm, a sequence that took a piece is the best fit for the next one too; so is a new one by any rule.
+            times = min(left, int((room // item).min())) if rule == "norm" or g is None else 1
             bins = min(available, left // times)
             if g is not None:
                 many[g] -= bins

@@ -99,7 +99,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None,
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4").astype("<u2" if width == 2 else "<u4").tobytes()
-            row = [[shard], [block], [before], [len(ends)], [size], [width], [pa.array(doc_ids)], [ids], [EliasFano.encode(np.array(ends), size)]]
+            row = [[shard], [block], [before], [len(ends)], [size], [width], [doc_ids], [ids], [EliasFano.encode(np.array(ends), size)]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), None, pa.binary(), pa.binary()]
             arrays = [pa.array(x, t) if t is not None else pa.array(x, pa.list_(id_type)) for x, t in zip(row, types)]
             return pa.RecordBatch.from_arrays(arrays, ["shard", "block", "before", "n_docs", "n_tokens", "width", "doc_ids", "ids", "ends"])
