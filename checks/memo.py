@@ -1,4 +1,6 @@
-"""Shares pinned stages between the queries of one session (they read the same tables)."""
+"""Stages that one query uses several times.  Every query starts without any, so each does its own work."""
+
+from functools import wraps
 
 _STAGES = {}
 
@@ -8,3 +10,12 @@ def stage(spark, sf_dir, name, build):
     if key not in _STAGES:
         _STAGES[key] = build()
     return _STAGES[key]
+
+
+def own_work(fn):
+    @wraps(fn)
+    def run(spark, sf_dir):
+        _STAGES.clear()
+        return fn(spark, sf_dir)
+
+    return run

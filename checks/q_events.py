@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import sql_naming as S
 from checks import views as V
+from checks.memo import own_work
 from shelfmark.operators import events as E
 from shelfmark.operators.stable import ensure_checkpoint_dir
 from shelfmark.sources import logs as G
@@ -17,7 +18,7 @@ NOW = "TIMESTAMP '2002-01-01 00:00:00'"
 
 def query(name, sql=None):
     def put(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = own_work(fn)
         if sql:
             SQL[name] = sql
         return fn
@@ -100,18 +101,20 @@ def stage_metrics(spark, sf):
 
 
 EVERY = 8 << 20
+# Every seventh event of a job has no stage of its own.
+_GAPS = "SELECT line, time, job_id, CASE WHEN line % 7 = 0 THEN '' ELSE stage END AS stage, bytes_read, bytes_written, props FROM {src}"
 _THR = (
-    f"WITH RECURSIVE l AS MATERIALIZED (SELECT line, job_id, stage, greatest(bytes_read, bytes_written) AS b, row_number() OVER (PARTITION BY job_id ORDER BY time, line) AS i, "
-    f"coalesce(lag(stage) OVER (PARTITION BY job_id ORDER BY time, line) <> stage, true) AS ch FROM ({V.LOG_SQL})), "
-    "w(job_id, i, line, kept, last) AS (SELECT job_id, i, line, true, b FROM l WHERE i = 1 UNION ALL "
-    f"SELECT l.job_id, l.i, l.line, l.ch OR l.b - w.last >= {EVERY}, CASE WHEN l.ch OR l.b - w.last >= {EVERY} THEN l.b ELSE w.last END FROM w JOIN l ON l.job_id = w.job_id AND l.i = w.i + 1) "
+    f"WITH RECURSIVE l AS MATERIALIZED (SELECT line, job_id, stage, greatest(bytes_read, bytes_written) AS b, row_number() OVER (PARTITION BY job_id ORDER BY time, line) AS i FROM ({_GAPS.format(src=f'({V.LOG_SQL})')})), "
+    "w(job_id, i, line, kept, last, named) AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST(0 AS BIGINT), '' FROM l UNION ALL "
+    f"SELECT l.job_id, l.i, l.line, (l.stage <> '' AND l.stage <> w.named) OR l.b - w.last >= {EVERY}, CASE WHEN (l.stage <> '' AND l.stage <> w.named) OR l.b - w.last >= {EVERY} THEN l.b ELSE w.last END, "
+    "CASE WHEN l.stage <> '' THEN l.stage ELSE w.named END FROM w JOIN l ON l.job_id = w.job_id AND l.i = w.i + 1) "
     "SELECT job_id, line FROM w WHERE kept"
 )
 
 
 @query("throttled_progress", _THR)
 def throttled_progress(spark, sf):
-    return E.throttled(V.log(spark, sf), EVERY).select("job_id", "line")
+    return E.throttled(spark.sql(_GAPS, src=V.log(spark, sf)), EVERY).select("job_id", "line")
 
 
 # --- logs -----------------------------------------------------------------------------------------
@@ -222,7 +225,7 @@ def stream_job_state(spark, sf):
 def stream_throttle(spark, sf):
     folder = scratch(spark)
     finished(
-        live.throttled_stream(log_stream(spark, sf), EVERY, expire=False).writeStream.outputMode("append").format("parquet")
+        live.throttled_stream(spark.sql(_GAPS, src=log_stream(spark, sf)), EVERY, expire=False).writeStream.outputMode("append").format("parquet")
         .option("path", f"{folder}/kept").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
     )
     return spark.read.parquet(f"{folder}/kept").select("job_id", "line")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks import sql_flow as X
 from checks import sql_naming as S
 from checks import views as V
-from checks.memo import stage
+from checks.memo import own_work, stage
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions import naming as N
 from shelfmark.functions import rx
@@ -13,7 +13,6 @@ from shelfmark.functions import text as T
 from shelfmark.operators import members as M
 from shelfmark.operators.stable import pinned
 from shelfmark.plans import inbox as I
-from shelfmark.sources import archives as A
 from shelfmark.sources import reports as P
 
 QUERIES, SQL = {}, {}
@@ -21,7 +20,7 @@ QUERIES, SQL = {}, {}
 
 def query(name, sql=None):
     def put(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = own_work(fn)
         if sql:
             SQL[name] = sql
         return fn
@@ -173,9 +172,8 @@ _CB = S.base("c")
 CAND = (
     f"WITH e AS ({_CE}), f AS (SELECT archive, ordinal, CASE WHEN {S.isin(S.extension(_CB), fv.NESTED_EXTENSIONS)} THEN 'nested-archive' WHEN {S.isin(S.extension(_CB), fv.IMAGE_EXTENSIONS)} AND {_useful_image(S.stem(_CB))} THEN 'named-image' END AS kind, "
     f"{S.trim_u(S.stem(_CB))} AS name FROM e WHERE NOT is_dir), g AS (SELECT archive, kind, lower(name) AS low, min(ordinal) AS n, arg_min(name, ordinal) AS name FROM f WHERE kind IS NOT NULL AND name <> '' GROUP BY 1, 2, 3), "
-    "h AS (SELECT * FROM g QUALIFY kind <> 'named-image' OR row_number() OVER (PARTITION BY archive, kind ORDER BY n) <= 256), "
     f"d AS (SELECT archive, min({S.trim_u(S.q('') + ' || top')}) AS name FROM (SELECT archive, is_dir, c, split_part(c, '/', 1) AS top FROM e) WHERE (contains(c, '/') OR is_dir) AND {_useful_dir('top')} GROUP BY archive, lower(top)), "
-    "u AS (SELECT archive, kind, name, 0 AS late, n FROM h UNION ALL SELECT archive, 'top-directory', name, 1, 0 FROM d), "
+    "u AS (SELECT archive, kind, name, 0 AS late, n FROM g UNION ALL SELECT archive, 'top-directory', name, 1, 0 FROM d), "
     "cand AS (SELECT archive, kind, name, row_number() OVER (PARTITION BY archive ORDER BY late, n, name) AS pos FROM u) "
 )
 
@@ -351,32 +349,3 @@ def dryrun_report(spark, sf):
         }
     ).withColumn("predicted_outputs", F.array("destination"))
     return P.dry_run_blocks(p).select("position", F.col("name").alias("source"), "block")
-
-
-# --- archives themselves --------------------------------------------------------------------------------
-@query("archive_entries")
-def archive_entries(spark, sf):
-    """Each source's documents packed as a ZIP (with a nested ZIP per language), listed again."""
-    docs = V.table(spark, sf, "documents").select("source", "lang", "doc_id", "text")
-    return A.list_members(packed(docs)).select("archive", "depth", "ordinal", "logical", "size")
-
-
-def packed(docs):
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        import io
-        import zipfile
-
-        outer = io.BytesIO()
-        with zipfile.ZipFile(outer, "w") as z:
-            for row in pdf.sort_values("doc_id").itertuples():
-                inner = io.BytesIO()
-                with zipfile.ZipFile(inner, "w") as n:
-                    n.writestr(f"{row.lang}/{row.doc_id}.txt", row.text)
-                z.writestr(f"{row.doc_id} v1.zip", inner.getvalue())
-        return pd.DataFrame({"archive": [f"{pdf['source'].iloc[0]}-{pdf['bucket'].iloc[0]}.zip"], "content": [outer.getvalue()]})
-
-    # A source is packed in boxes of 64 consecutive documents, so that no box grows with the table.
-    boxed = docs.withColumn("bucket", F.floor(F.col("doc_id") / 64))
-    return boxed.groupBy("source", "bucket").applyInPandas(pack, "archive string, content binary")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import sql_naming as S
 from checks import views as V
+from checks.memo import own_work
 from shelfmark.functions import naming as N
 from shelfmark.functions import rx
 from shelfmark.functions import text as T
@@ -37,7 +38,7 @@ SQL["parse_existing"] = (
 
 def query(name, sql=None):
     def put(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = own_work(fn)
         if sql:
             SQL[name] = sql
         return fn

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from checks import sql_flow as X
 from checks import sql_naming as S
 from checks import views as V
-from checks.memo import stage
+from checks.memo import own_work, stage
+from checks.q_events import scratch
 from shelfmark.functions import naming as N
 from shelfmark.operators import cluster as C
 from shelfmark.operators import dedupe as D
@@ -22,7 +23,7 @@ same_hash = lambda rows: rows  # noqa: E731  the view carries its hashes
 
 def query(name, sql=None):
     def put(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = own_work(fn)
         if sql:
             SQL[name] = sql
         return fn
@@ -226,7 +227,7 @@ def title_pairs(spark, sf):
     from shelfmark.operators.pairs import near_pairs
 
     keys = V.titles(spark, sf).select(
-        F.lit("").alias("scope"), N.canonical_key(N.safe_folder_name(F.col("series"))).alias("text")
+        F.lit("").alias("scope"), N.canonical_key(F.col("series")).alias("text")
     ).distinct()
     return near_pairs(pinned(keys), 0.90).select("a", "b", "sim")
 
@@ -336,9 +337,7 @@ def report_pages(spark, sf):
 
 @query("report_page_read", X.upto("fin", f"SELECT position, source FROM (SELECT source, row_number() OVER ({_ORDER}) - 1 AS position FROM fin) WHERE position BETWEEN 150 AND 449"))
 def report_page_read(spark, sf):
-    from tempfile import mkdtemp
-
-    folder = mkdtemp(prefix="spark-report-") + "/items"
+    folder = scratch(spark)
     P.write_pages(report(spark, sf).items.select("source", "series", "volume"), R.report_order(), folder)
     return P.read_page(spark, folder, offset=150, limit=300).select("position", "source")
 
@@ -471,7 +470,7 @@ def publish_decision(spark, sf):
 
 _PART = "SELECT path || '.partial' AS path FROM {src} WHERE path LIKE '%.zip' UNION ALL SELECT path FROM {src} WHERE length(path) % 3 = 0"
 _PART_OUT = (
-    f"WITH l AS (SELECT path FROM ({V.LIBRARY_SQL})), f AS ({_PART.format(src='l')}), r AS (SELECT p.path, CASE WHEN d.path IS NOT NULL THEN 'stale' WHEN length(p.path) % 2 = 0 THEN 'promote' ELSE 'invalid' END AS outcome "
+    f"WITH l AS MATERIALIZED (SELECT path FROM ({V.LIBRARY_SQL})), f AS MATERIALIZED ({_PART.format(src='l')}), r AS (SELECT p.path, CASE WHEN d.path IS NOT NULL THEN 'stale' WHEN length(p.path) % 2 = 0 THEN 'promote' ELSE 'invalid' END AS outcome "
     "FROM f p LEFT JOIN f d ON d.path = regexp_replace(p.path, '\\.partial$', '') WHERE lower(p.path) LIKE '%.zip.partial') "
 )
 

@@ -123,25 +123,8 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- archive members ------------------------------------------------------------------------
-MEMBERS_SQL = """
-SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS archive,
-       regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS name,
-       page_id AS ordinal, 0 AS depth,
-       CAST(length(html) AS BIGINT) AS size
-FROM pages"""
-
-
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    name = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1)
-    return pages.select(
-        F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("archive"), name.alias("name"),
-        F.col("page_id").alias("ordinal"), F.lit(0).alias("depth"), F.length("html").cast("bigint").alias("size"),
-    )
-
-
-# Lines of documents as member paths with the shapes archives show: title folders, images,
-# nested archives, unsafe paths.  source = archive, one member per line.
+# Documents as member paths with the shapes archives show: title folders, images, nested archives, unsafe
+# paths of any depth.  source = archive, one member per document; its whole text, letters only, is the name.
 _SHELF = {
     "shape": [
         ("doc_id % 9 = 0", "'../' || stem || '.jpg'"),

@@ -101,9 +101,6 @@ MAX_DEPTH = 8
 MAX_NESTED_ARCHIVES = 1024
 MAX_ENTRIES = 250_000
 MAX_EXPANDED_BYTES = 128 * 1024**3
-INSPECT_ENTRIES = 20_000
-INSPECT_CANDIDATES = 4096
-INSPECT_IMAGES = 256
 MIB = 1024 * 1024
 THROTTLE_BYTES = 256 * MIB
 RETENTION_DAYS = 14

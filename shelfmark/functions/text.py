@@ -35,20 +35,25 @@ def without_known_extension(name: Column) -> Column:
 
 
 def clean_path(c: Column) -> Column:
-    """Lexical path cleaning: doubled and trailing slashes and ``.`` parts go; each
-    ``name/..`` pair folds (nested pairs up to eight deep)."""
-    c = F.regexp_replace(c, r"/+", "/")
-    c = F.regexp_replace(c, r"(?<=/)(?:\./)+|/\.\z|\A\./", "")
-    folded = F.when(
-        c.contains("/.."),
-        F.aggregate(
-            F.sequence(F.lit(1), F.lit(8)),
-            c,
-            lambda acc, _: F.regexp_replace(acc, r"(?:\A|(?<=/))(?!\.\./)[^/]+/\.\.(?:/|\z)", ""),
-        ),
-    ).otherwise(c)
-    rooted = F.regexp_replace(folded, r"\A/(?:\.\.(?:/|\z))+", "/")
-    out = F.regexp_replace(rooted, r"(?<=[^/])/\z", "")
+    """Lexical path cleaning: empty and ``.`` parts go, and each ``..`` takes back the part before it,
+    however deep; at the root of an absolute path it is dropped."""
+    rooted = c.startswith("/")
+    up = lambda done: (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+
+    def step(done, part):
+        return (
+            F.when(part.isin("", "."), done)
+            .when(part != "..", F.array_append(done, part))
+            .when(F.when(F.size(done) > 0, up(done)).otherwise(False), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(rooted, done)
+            .otherwise(F.array_append(done, part))
+        )
+
+    parts = F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), step)
+    folded = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
+    # Most paths are clean but for a trailing slash.
+    simple = F.regexp_replace(c, r"(?<=[^/])/\z", "")
+    out = F.when(c.rlike(r"//|(?:\A|/)\.{1,2}(?:/|\z)"), folded).otherwise(simple)
     return F.when(out == "", F.lit(".")).otherwise(out)
 
 

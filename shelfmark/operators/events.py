@@ -1,5 +1,6 @@
 """Job and event analytics: durations, throughput, stage metrics, throttling, tails, redaction."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,31 +104,41 @@ def stage_metrics(events: DataFrame) -> DataFrame:
 
 
 def throttled(events: DataFrame, every: int = fv.THROTTLE_BYTES) -> DataFrame:
-    """Events worth logging: each stage change, then whenever the larger byte count has grown by
-    ``every`` since the last kept event.
+    """Events worth logging: each change from the last named stage to another named one, then whenever the
+    larger byte count has grown by ``every`` since the last kept event (since 0 before the first stage).
 
     The rule restarts at a stage change, so runs of a stage are independent: they are spread over
-    tasks and each task walks its sorted runs with a state of three values."""
-    named = with_previous(events, ["job_id"], _order(), ["stage"])
-    changed = F.coalesce((F.col("stage") != F.col("prev_stage")) & (F.col("stage") != ""), F.lit(True))
-    named = named.withColumn("_first", changed.cast("int")).drop("prev_stage")
-    runs = running_total(named, ["job_id"], _order(), F.col("_first"), "_run")
+    tasks.  Inside a run the next kept event is the first at which the running maximum reaches the last kept
+    count plus ``every``, so a task jumps from one kept event to the next."""
+    named = with_previous(events.where("stage <> ''"), ["job_id"], _order(), ["stage"])
+    change = F.coalesce((F.col("stage") != F.col("prev_stage")), F.lit(True)).cast("int")
+    rest = events.where("NOT coalesce(stage <> '', false)").withColumn("_first", F.lit(0))
+    flagged = named.withColumn("_first", change).drop("prev_stage").unionByName(rest)
+    runs = running_total(flagged, ["job_id"], _order(), F.col("_first"), "_run")
     runs = runs.withColumn("_bytes", F.greatest("bytes_read", "bytes_written"))
     schema = runs.schema
 
     def walk(batches):
         key, last = None, 0
         for pdf in batches:
-            keep = []
-            for job, run, size in zip(pdf["job_id"], pdf["_run"], pdf["_bytes"]):
-                if (job, run) != key:
-                    key, last = (job, run), size
-                    keep.append(True)
-                elif size - last >= every:
-                    last = size
-                    keep.append(True)
-                else:
-                    keep.append(False)
+            keep = np.zeros(len(pdf), bool)
+            job, run = pdf["job_id"].to_numpy(), pdf["_run"].to_numpy()
+            sizes = pdf["_bytes"].to_numpy()
+            edges = np.flatnonzero((job[1:] != job[:-1]) | (run[1:] != run[:-1])) + 1 if len(pdf) else []
+            for start, stop in zip([0, *edges], [*edges, len(pdf)]):
+                if stop == start:
+                    continue
+                top = np.maximum.accumulate(sizes[start:stop])
+                at = 0
+                if (job[start], run[start]) != key:
+                    key, last = (job[start], run[start]), 0
+                    if run[start]:
+                        keep[start], last, at = True, sizes[start], 1
+                # Places before ``at`` are below the goal or kept, so the search may start anywhere.
+                at = max(at, int(np.searchsorted(top, last + every)))
+                while at < stop - start:
+                    keep[start + at], last = True, sizes[start + at]
+                    at = max(at + 1, int(np.searchsorted(top, last + every)))
             yield pdf[keep]
 
     spread = runs.repartition("job_id", "_run").sortWithinPartitions("job_id", "_run", *ORDER)
@@ -140,11 +151,12 @@ def is_job_id(c: Column) -> Column:
 
 
 def tail(lines: DataFrame, max_lines: int = 500) -> DataFrame:
-    """The last lines of each job (1-5000, else 500), then those that are JSON objects.  Ranking
+    """The last ``max_lines`` lines of each job, then those that are JSON objects.  Ranking
     with a fixed limit is cut down on the map side before the shuffle."""
-    n = max_lines if 0 < max_lines <= 5000 else 500
+    if max_lines < 1:
+        raise ValueError("max_lines must be positive")
     newest = F.row_number().over(W.partitionBy("job_id").orderBy(F.desc("line")))
-    last = lines.withColumn("_n", newest).where(F.col("_n") <= n).drop("_n")
+    last = lines.withColumn("_n", newest).where(F.col("_n") <= max_lines).drop("_n")
     parsed = F.try_parse_json("text")
     return last.where(parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT"))
 

@@ -1,7 +1,7 @@
 """Archive member operators: safety, facts, groups, name candidates and name consensus.
 
-Work per archive is bounded: an archive with more than 250 000 entries is an error in its own
-right (``archive_limits``), and name inspection looks at the first 20 000 entries.
+An archive may hold a third of all entries: numbering by entry order is range partitioned, the winner of a
+consensus is an aggregate, and only lists with a fixed length (ten names) are collected.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,8 @@ from shelfmark.functions import fixed_values as fv
 from shelfmark.functions import naming as N
 from shelfmark.functions import rx
 from shelfmark.functions.text import basename, clean_path, computed_here, extension, has_japanese, trimmed, without_extension
-from shelfmark.operators.ordered import with_previous
+from shelfmark.operators.ordered import row_numbers, with_previous
+from shelfmark.operators.stable import pinned
 
 
 # --- predicates ---------------------------------------------------------------------------
@@ -43,15 +44,20 @@ def _max_long() -> Column:
     return F.lit((1 << 63) - 1)
 
 
+def _div(a: Column, b: int) -> Column:
+    """Whole division; the remainder is taken off first, so the quotient is exact at any size."""
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
+
+
 def output_bytes_estimate(unpacked: Column, source: Column) -> Column:
     base = F.when(unpacked > 0, unpacked).otherwise(source * 2)
-    safety = F.greatest(F.lit(256 * fv.MIB), F.floor(base / 20).cast("bigint"))
+    safety = F.greatest(F.lit(256 * fv.MIB), _div(base, 20))
     return F.when(base > _max_long() - safety, _max_long()).otherwise(base + safety)
 
 
 def rewrite_bytes_estimate(source: Column) -> Column:
     base = F.when(source <= F.lit(((1 << 63) - 1) // 2), source * 2).otherwise(_max_long())
-    safety = F.greatest(F.lit(256 * fv.MIB), F.floor(source / 10).cast("bigint"))
+    safety = F.greatest(F.lit(256 * fv.MIB), _div(source, 10))
     return (
         F.when(source <= 0, F.lit(512 * fv.MIB)).when(base > _max_long() - safety, _max_long()).otherwise(base + safety)
     )
@@ -137,11 +143,12 @@ def unique_members(entries: DataFrame) -> DataFrame:
     schema = "archive string, ordinal bigint, unique_name string"
 
     def settle(pdf):
-        import posixpath
+        import re
 
         seen, out = set(), []
         for name in pdf.sort_values("ordinal")["name"]:
-            stem, ext = posixpath.splitext(name)
+            ext = re.search(r"\.[^./]*\Z", name)
+            stem, ext = (name[: ext.start()], ext[0]) if ext else (name, "")
             pick, n = name, 1
             while pick.lower() in seen:
                 n += 1
@@ -201,12 +208,9 @@ def is_useful_image(stem: Column) -> Column:
 
 
 def name_candidates(entries: DataFrame) -> DataFrame:
-    """(archive, pos, kind, name, truncated): naming evidence in entry order, folders last and
-    sorted; the first of equal names per kind; 256 images and 4096 candidates per archive."""
-    rank = F.row_number().over(W.partitionBy("archive").orderBy("ordinal"))
-    seen = entries.withColumn("_n", rank).where(F.col("_n") <= fv.INSPECT_ENTRIES + 1)
-    over = seen.groupBy("archive").agg((F.max("_n") > fv.INSPECT_ENTRIES).alias("over"))
-    e = seen.where(F.col("_n") <= fv.INSPECT_ENTRIES)
+    """(archive, pos, kind, name): naming evidence of all entries in entry order, folders last and
+    sorted; the first of equal names per kind."""
+    e = entries.withColumn("_n", F.col("ordinal"))
     e = computed_here(e, clean=F.regexp_replace(clean_path(F.concat(F.lit("/"), trimmed(F.translate("name", "\\", "/")))), r"\A/", ""))
     e = e.where("clean NOT IN ('', '.')")
     is_dir, parts = F.coalesce("is_dir", F.lit(False)), F.split("clean", "/")
@@ -219,8 +223,6 @@ def name_candidates(entries: DataFrame) -> DataFrame:
     firsts = file_rows.groupBy("archive", "kind", F.lower("name").alias("low")).agg(
         F.min("_n").alias("_n"), F.min_by("name", "_n").alias("name")
     )
-    nth = F.row_number().over(W.partitionBy("archive", "kind").orderBy("_n"))
-    firsts = firsts.withColumn("_i", nth).where((F.col("kind") != "named-image") | (F.col("_i") <= fv.INSPECT_IMAGES))
     top = trimmed(parts[0])
     dirs = e.where((F.size(parts) > 1) | is_dir).where(is_useful_directory(parts[0])).select("archive", top.alias("name")).distinct()
     # Folders come in byte order; of names that differ in case only the first stays.
@@ -228,13 +230,8 @@ def name_candidates(entries: DataFrame) -> DataFrame:
     both = firsts.select("archive", "kind", "name", F.lit(0).alias("late"), F.col("_n").cast("bigint").alias("_n")).unionByName(
         dirs.select("archive", F.lit("top-directory").alias("kind"), "name", F.lit(1).alias("late"), F.lit(0).cast("bigint").alias("_n"))
     )
-    pos = F.row_number().over(W.partitionBy("archive").orderBy("late", "_n", "name"))
-    ranked = both.withColumn("pos", pos)
-    total = ranked.groupBy("archive").agg((F.count("*") > fv.INSPECT_CANDIDATES).alias("cut"))
-    return (
-        ranked.where(F.col("pos") <= fv.INSPECT_CANDIDATES).join(over, "archive").join(total, "archive")
-        .select("archive", "pos", "kind", "name", (F.col("over") | F.col("cut")).alias("truncated"))
-    )
+    order = [F.col("late"), F.col("_n"), F.col("name")]
+    return row_numbers(both, ["archive"], order, "pos").select("archive", "pos", "kind", "name")
 
 
 # --- consensus --------------------------------------------------------------------------------------------
@@ -251,9 +248,12 @@ def scored_candidates(candidates: DataFrame) -> DataFrame:
     df = computed_here(df, series_ok=N.series_usable(F.col("c.series")), gkey=N.group_key(F.col("c.series")), jp=has_japanese(F.col("name")))
     df = N.with_coverage(df.where("series_ok"), "name").drop("series_ok")
     score = F.col("c.confidence") + kind_bonus(F.col("kind")) + F.when(F.col("jp"), fv.JAPANESE_BONUS).otherwise(0.0)
-    n = F.count("*").over(W.partitionBy("archive", "gkey"))  # at most 4096 per archive
+    df = pinned(df)
+    sizes = df.groupBy("archive", "gkey").agg(F.count("*").alias("n"))
+    df = df.join(sizes, ["archive", "gkey"])
+    n = F.col("n")
     bonus = F.when(F.col("n") < 2, 0.0).otherwise(F.least(F.lit(0.24), F.lit(0.08) * (F.col("n") - 1)))
-    return df.withColumns({"score0": score, "n": n}).withColumn("score", F.col("score0") + bonus)
+    return df.withColumn("score0", score).withColumn("score", F.col("score0") + bonus)
 
 
 def name_consensus(archives: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -262,25 +262,18 @@ def name_consensus(archives: DataFrame, candidates: DataFrame) -> DataFrame:
     outer = N.with_coverage(N.with_parsed_name(archives.select("archive"), "archive", "o"), "archive", "ocov")
     outer = computed_here(outer, o_ok=N.series_usable(F.col("o.series")), okey=N.group_key(F.col("o.series")))
     s = scored_candidates(candidates)
-    row = F.struct("pos", "score", "jp", kind_bonus(F.col("kind")).alias("bonus"), "kind", "name", "gkey", "n", "c")
-
-    def is_better(x, best):
-        return F.when(F.abs(x["score"] - best["score"]) > 0.0001, x["score"] > best["score"]).when(
-            x["jp"] != best["jp"], x["jp"]
-        ).otherwise(x["bonus"] > best["bonus"])
-
-    listed = s.groupBy("archive").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # <= 4096
-    winner = listed.select(
-        "archive",
-        F.aggregate(
-            F.slice("rows", F.lit(2), F.size("rows")), F.col("rows")[0], lambda best, x: F.when(is_better(x, best), x).otherwise(best)
-        ).alias("w"),
+    # The best score to four places, then Japanese names, then the kind, then the earliest.
+    rank = F.struct(F.round("score", 4).alias("score"), "jp", kind_bonus(F.col("kind")).alias("bonus"), (-F.col("pos")).alias("early"))
+    winner = s.groupBy("archive").agg(F.max_by(F.struct("pos", "score", "jp", "kind", "name", "gkey", "n", "c"), rank).alias("w"))
+    first = s.groupBy("archive", "gkey", "name").agg(F.min("pos").alias("pos"))
+    nth = F.row_number().over(W.partitionBy("archive", "gkey").orderBy("pos"))  # cut down before the shuffle
+    ten = first.withColumn("_i", nth).where("_i <= 10").groupBy("archive", "gkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda r: r["name"]).alias("names")
     )
     group = s.groupBy("archive", "gkey").agg(
         N.merged_coverage(F.col("coverage")).alias("cov"),
         F.count_distinct(F.when(F.col("c.has_volume"), F.col("c.volume"))).alias("volumes"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda r: r["name"]).alias("names"),
-    )
+    ).join(ten, ["archive", "gkey"])
     df = outer.join(winner, "archive", "left").join(
         group.select(F.col("archive").alias("_a"), F.col("gkey").alias("_g"), "cov", "volumes", "names"),
         (F.col("archive") == F.col("_a")) & (F.col("w.gkey") == F.col("_g")), "left",
@@ -304,7 +297,7 @@ def name_consensus(archives: DataFrame, candidates: DataFrame) -> DataFrame:
         volume.isNotNull().alias("has_volume"),
         F.when(F.col("outer_wins"), F.col("o.confidence")).otherwise(conf).alias("confidence"),
         F.when(F.col("outer_wins"), "outer-filename").otherwise(F.col("w.kind")).alias("source"),
-        F.when(~F.col("outer_wins"), F.slice(F.array_distinct("names"), 1, 10)).alias("candidates"),
+        F.when(~F.col("outer_wins"), F.col("names")).alias("candidates"),
         F.when(F.col("outer_wins"), 0).otherwise(F.col("w.n")).alias("group_size"),
         "coverage", "multi_volume",
     )

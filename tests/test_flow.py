@@ -41,21 +41,21 @@ def test_clusters(spark):
     got = clusters(
         spark,
         [
-            ("BLACK LAGOON", ""), ("BLACK LAGOON ブラック・ラグーン", ""), ("ブラック・ラグーン", ""),
-            ("勇者パーティを追い出された器用貧乏", "よねぞう×都神樹"),
-            ("勇者パーティを追い出された器用貧乏 外伝 オフのセルマさんは不器用！？", "別作画×別構成"),
-            ("念願の悪役令嬢の身体を手に入れたぞ！", "羽田遼亮×中島零"),
-            ("念願の悪役令嬢（ラスボス）の身体を手に入れたぞ！", "羽田遼亮×中島零"),
-            ("てのひら開拓村で異世界建国記", "同一作者"),
-            ("てのひら開拓村で異世界建国記 ～増えてく嫁たちとのんびり無人島ライフ～", "同一作者"),
-            ("貴族家三男の成り上がりライフ", "甲"), ("貴族家三男の成り上がりライフ 生まれてすぐに", "乙"),
+            ("HARBOR LIGHTS", ""), ("HARBOR LIGHTS ハーバー・ライツ", ""), ("ハーバー・ライツ", ""),
+            ("港町を出ていった見習い航海士", "森野×汐見"),
+            ("港町を出ていった見習い航海士 外伝 アンナさんは船に弱い！？", "別作画×別構成"),
+            ("待望の時計塔の番人の座を手に入れたぞ！", "森野×汐見"),
+            ("待望の時計塔（からくり）の番人の座を手に入れたぞ！", "森野×汐見"),
+            ("うらにわ菜園で小国再建記", "同一作者"),
+            ("うらにわ菜園で小国再建記 ～ふえる畑と気ままな島ぐらし～", "同一作者"),
+            ("仕立屋次男の立身ものがたり", "甲"), ("仕立屋次男の立身ものがたり はじまりの針", "乙"),
         ],
     )
-    assert {got[s][0] for s in ("BLACK LAGOON", "BLACK LAGOON ブラック・ラグーン", "ブラック・ラグーン")} == {"ブラック・ラグーン"}
-    assert got["勇者パーティを追い出された器用貧乏 外伝 オフのセルマさんは不器用！？"][0] == "勇者パーティを追い出された器用貧乏"
-    assert len({got[s][0] for s in got if s.startswith("念願")}) == 1
-    assert len({got[s][0] for s in got if s.startswith("てのひら")}) == 1
-    assert got["貴族家三男の成り上がりライフ"] == ("貴族家三男の成り上がりライフ", None)
+    assert {got[s][0] for s in ("HARBOR LIGHTS", "HARBOR LIGHTS ハーバー・ライツ", "ハーバー・ライツ")} == {"ハーバー・ライツ"}
+    assert got["港町を出ていった見習い航海士 外伝 アンナさんは船に弱い！？"][0] == "港町を出ていった見習い航海士"
+    assert len({got[s][0] for s in got if s.startswith("待望")}) == 1
+    assert len({got[s][0] for s in got if s.startswith("うらにわ")}) == 1
+    assert got["仕立屋次男の立身ものがたり"] == ("仕立屋次男の立身ものがたり", None)
 
 
 def test_saved_alias_wins_and_keeps_ratings(spark):
@@ -130,3 +130,9 @@ def test_quarantine_names_take_the_first_free_number(spark):
     planned = spark.createDataFrame([(f"/r{i}/n.zip", "S", str(i)) for i in range(3)], "source string, series string, ord string")
     got = [r.quarantine_path for r in M.quarantine_names(planned, files, "/a").orderBy("ord").collect()]
     assert got == ["/a/.quarantine/S/n (2).zip", "/a/.quarantine/S/n (4).zip", "/a/.quarantine/S/n (5).zip"]
+
+
+def test_quarantine_names_beyond_five_digits(spark):
+    full = [("/a", ".quarantine/S/n.zip", 1, 1, "x")] + [("/a", f".quarantine/S/n ({k}).zip", 1, 1, "x") for k in range(2, 10_003)]
+    planned = spark.createDataFrame([("/r/n.zip", "S", "1")], "source string, series string, ord string")
+    assert M.quarantine_names(planned, listing(spark, full), "/a").first().quarantine_path == "/a/.quarantine/S/n (10003).zip"

@@ -71,7 +71,10 @@ def test_pages_round_trip(spark, tmp_path):
     reports.write_pages(df, [F.col("n")], f"{tmp_path}/p")
     got = [r.n for r in reports.read_page(spark, f"{tmp_path}/p", offset=195, limit=10).collect()]
     assert got == list(range(195, 205))
-    assert reports.page_bounds(-3, 0) == (0, 100) and reports.page_bounds(5, 9999) == (5, 505)
+    assert reports.page_bounds(5, 9999) == (5, 10004)
+    for bad in ((-3, 1), (0, 0)):
+        with pytest.raises(ValueError):
+            reports.page_bounds(*bad)
 
 
 def test_alias_settings(spark, tmp_path):
