@@ -10,12 +10,26 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+
+#: Pieces of one generation: a full generation becomes the old one, from which pieces still in use move on.
+GENERATION = 500_000
+#: Pieces longer than this are not kept.
+LONG = 64
+#: Letters below this one are the same in every Unicode version and composed form.
+PLAIN = "\u0250"
+_LEADING = re.compile(r" ?[^\W\d_]+")
+_ENCODERS: dict[str, "Encoder"] = {}
 
-import numpy as np
 
-#: Pieces that a worker remembers; longer ones than LONG characters are not kept.
-CACHE, LONG = 400_000, 64
-_ENCODERS: dict[str, "Encoder"] = {}
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a printable Latin-1 byte stands for itself, the others follow from 256."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = byte_letters()
 
 
 class Encoder(dict):
@@ -26,27 +40,47 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = sorted({t["content"][:2] for t in spec.get("added_tokens", [])})
         self.cut = _cut_of(spec)
+        self.lower = self.cut is at_white_space
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self._encoded(piece)
         if len(piece) <= LONG:
-            if len(self) >= CACHE:
+            if len(self) >= GENERATION:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def _encoded(self, piece: str) -> bytes:
+        """A run of letters is one word to the tokenizer, so it goes straight to the merges; what follows
+        the letters, if it begins in ASCII, is a piece of its own."""
+        lead = _LEADING.match(piece)
+        lead = lead[0] if lead and lead[0].lstrip(" ").isalpha() else ""
+        if lead and piece[len(lead) : len(lead) + 1].isascii() and len(lead) < len(piece):
+            return self[lead] + self[piece[len(lead) :]]
+        word = piece.lower() if self.lower else piece
+        if lead and lead == piece and max(word) < PLAIN:
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.cut is None or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, self.cut(text)))
 
 
