@@ -176,7 +176,7 @@ def redact_fields(spark, sf):
 @query("event_log_write", f"SELECT job_id, count(*) AS lines, sum(bytes_read)::BIGINT AS bytes_read FROM ({V.LOG_SQL}) GROUP BY 1")
 def event_log_write(spark, sf):
     folder = scratch(spark)
-    G.write_events(V.log(spark, sf).repartition("job_id").select("job_id", "time", "stage", "bytes_read", "bytes_written"), folder)
+    G.write_events(V.log(spark, sf).select("job_id", "time", "stage", "bytes_read", "bytes_written"), folder)
     return G.read_events(spark, folder).groupBy("job_id").agg(F.count("*").alias("lines"), F.sum("bytes_read").alias("bytes_read"))
 
 

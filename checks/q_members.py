@@ -265,7 +265,9 @@ def one_work(spark, sf):
 @query(
     "group_routing",
     f"WITH gp AS MATERIALIZED ({_GP}), o AS ({_ONE}), pl AS ({S.stage('SELECT plan, arg_min(p_series, position) AS series, count(*) > 4 AS needs_review FROM gp WHERE trim(grp) <> chr(32) GROUP BY 1', **X.profile('series', 'k_'))}), "
-    f"m AS (SELECT gp.plan, gp.grp, bool_or({X.pair_score('k_', 'g_')} >= 0.86) AS matched FROM gp JOIN pl USING (plan) GROUP BY 1, 2) "
+    f"al AS ({S.stage('SELECT plan, arg_max(p_series, position) AS alias FROM gp WHERE trim(grp) <> chr(32) GROUP BY 1', **X.profile('alias', 'a_'))}), "
+    f"h AS (SELECT gp.plan, gp.grp, {X.pair_score('k_', 'g_')} >= 0.86 AS hit FROM gp JOIN pl USING (plan) UNION ALL SELECT gp.plan, gp.grp, {X.pair_score('a_', 'g_')} >= 0.86 FROM gp JOIN al USING (plan)), "
+    "m AS (SELECT plan, grp, bool_or(hit) AS matched FROM h GROUP BY 1, 2) "
     "SELECT gp.plan, gp.grp AS \"group\", bool_or(trim(gp.grp) = '' OR (NOT needs_review AND k_ok AND coalesce(ok, false)) OR coalesce(matched, false)) AS belongs FROM gp JOIN pl USING (plan) LEFT JOIN o USING (plan) LEFT JOIN m ON m.plan = gp.plan AND m.grp = gp.grp GROUP BY 1, 2",
 )
 def group_routing(spark, sf):
@@ -273,8 +275,8 @@ def group_routing(spark, sf):
     plans = I.with_group_series(g).groupBy("plan").agg(
         F.min_by("group_series", "position").alias("series"), (F.count("*") > 4).alias("needs_review")
     )
-    no_aliases = plans.where("false").select("plan", F.col("series").alias("alias"))
-    return I.routed_groups(plans, no_aliases, g)
+    aliases = I.with_group_series(g).groupBy("plan").agg(F.max_by("group_series", "position").alias("alias"))
+    return I.routed_groups(plans, aliases, g)
 
 
 _OT = S.parsed(f"SELECT DISTINCT plan, grp FROM ({_G})", "grp")
@@ -294,12 +296,20 @@ def group_outputs(spark, sf):
 
 @query(
     "output_collisions",
-    f"WITH t AS (SELECT plan, lower({_TARGET}) AS k FROM ({_OT})), d AS (SELECT k FROM t GROUP BY 1 HAVING count(*) > 1) SELECT plan, list_sort(list_distinct(list(k))) AS targets FROM t JOIN d USING (k) GROUP BY 1",
+    f"WITH t AS (SELECT plan, lower({_TARGET}) AS k FROM ({_OT})), d AS (SELECT k FROM t GROUP BY 1 HAVING count(*) > 1) SELECT DISTINCT plan, k AS target FROM t JOIN d USING (k)",
 )
 def output_collisions(spark, sf):
     return I.output_collisions(targets(spark, sf).select("plan", "target"))
 
 
+@query(
+    "collision_notes",
+    f"WITH t AS (SELECT plan, lower({_TARGET}) AS k FROM ({_OT})), d AS (SELECT k FROM t GROUP BY 1 HAVING count(*) > 1) SELECT plan, min(k) AS first, count(DISTINCT k) - 1 AS others FROM t JOIN d USING (k) GROUP BY 1",
+)
+def collision_notes(spark, sf):
+    return I.collision_notes(I.output_collisions(targets(spark, sf).select("plan", "target")))
+
+
 # --- plans -------------------------------------------------------------------------------------------
 _PL = f"SELECT path AS source, name, p_series AS series, p_volume AS volume, p_confidence AS confidence, p_confidence < CAST(0.72 AS DOUBLE) AS needs_review, length(path) % 5 = 0 AS skipped, CASE WHEN length(path) % 7 = 0 THEN 'unreadable' END AS error FROM ({S.parsed(V.LIBRARY_SQL, 'name')}) WHERE {X.archive_filter('name')}"
 

@@ -380,28 +380,35 @@ def selection_errors(spark, sf):
 _TURN = "(lower({0}series), {0}series, {0}volume IS NULL, coalesce({0}volume, 0), {0}source)"
 
 
-@query(
-    "apply_manifest",
-    X.upto(
-        "fin",
-        "SELECT path, coalesce(moved_to, here) AS new_path, CASE WHEN moved_to IS NOT NULL THEN 'moved' WHEN here <> path THEN 'quarantined' WHEN wanted THEN 'skipped' ELSE 'kept' END AS outcome FROM ("
-        "SELECT a1.path, a1.here, w.wanted, d.target AS moved_to FROM a1 LEFT JOIN (SELECT source AS path, true AS wanted FROM mv) w ON w.path = a1.path LEFT JOIN won d ON d.path = a1.path)",
-        [
-            ("a1", "SELECT lib.path, coalesce(q.destination, lib.path) AS here FROM lib LEFT JOIN (SELECT source, destination FROM fin WHERE action IN ('duplicate', 'superseded')) q ON q.source = lib.path"),
-            ("mv", f"SELECT source, destination, {_TURN.format('')} AS turn FROM fin WHERE action = 'move' AND source <> destination"),
-            ("cm", "SELECT mv.source AS path, mv.destination AS target, mv.turn, a1.path AS holder FROM mv LEFT JOIN a1 ON a1.here = mv.destination"),
-            (
-                "won(target, path, turn)",
-                "SELECT target, arg_min(path, turn), min(turn) FROM cm WHERE holder IS NULL GROUP BY 1 UNION ALL "
-                "SELECT target, path, turn FROM (SELECT cm.target, cm.path, cm.turn, row_number() OVER (PARTITION BY cm.target ORDER BY cm.turn) AS k FROM cm JOIN won ON won.path = cm.holder WHERE cm.turn > won.turn) WHERE k = 1",
-            ),
-        ],
-    ),
+_APPLIED = (
+    "SELECT path, coalesce(moved_to, here) AS new_path, CASE WHEN moved_to IS NOT NULL THEN 'moved' WHEN here <> path THEN 'quarantined' WHEN wanted THEN 'skipped' ELSE 'kept' END AS outcome FROM ("
+    "SELECT a1.path, a1.here, w.wanted, d.target AS moved_to FROM a1 LEFT JOIN (SELECT source AS path, true AS wanted FROM mv) w ON w.path = a1.path LEFT JOIN won d ON d.path = a1.path)"
 )
+_APPLY_STEPS = [
+        ("a1", "SELECT lib.path, coalesce(q.destination, lib.path) AS here FROM lib LEFT JOIN (SELECT source, destination FROM fin WHERE action IN ('duplicate', 'superseded')) q ON q.source = lib.path"),
+        ("mv", f"SELECT source, destination, {_TURN.format('')} AS turn FROM fin WHERE action = 'move' AND source <> destination"),
+        ("cm", "SELECT mv.source AS path, mv.destination AS target, mv.turn, a1.path AS holder FROM mv LEFT JOIN a1 ON a1.here = mv.destination"),
+        (
+            "won(target, path, turn)",
+            "SELECT target, arg_min(path, turn), min(turn) FROM cm WHERE holder IS NULL GROUP BY 1 UNION ALL "
+            "SELECT target, path, turn FROM (SELECT cm.target, cm.path, cm.turn, row_number() OVER (PARTITION BY cm.target ORDER BY cm.turn) AS k FROM cm JOIN won ON won.path = cm.holder WHERE cm.turn > won.turn) WHERE k = 1",
+        ),
+    ]
+
+
+@query("apply_manifest", X.upto("fin", _APPLIED, _APPLY_STEPS))
 def apply_manifest(spark, sf):
     return M.apply_manifest(lib(spark, sf), report(spark, sf).items)
 
 
+@query(
+    "manifest_counts",
+    X.upto("fin", f"SELECT count_if(outcome = 'moved') AS moved, count_if(outcome = 'quarantined') AS quarantined, count_if(outcome IN ('skipped', 'kept')) AS skipped FROM ({_APPLIED})", _APPLY_STEPS),
+)
+def manifest_counts(spark, sf):
+    return M.manifest_counts(M.apply_manifest(lib(spark, sf), report(spark, sf).items))
+
+
 @query("quarantine_list", f"SELECT root, path, substr(rel, {len(V.QUARANTINE) + 2}) AS relative, size, modified FROM ({V.LIBRARY_SQL}) WHERE starts_with(rel, '{V.QUARANTINE}/') ORDER BY modified DESC, relative")
 def quarantine_list(spark, sf):
     return M.quarantine_files(lib(spark, sf)).orderBy(F.desc("modified"), "relative")

@@ -118,13 +118,16 @@ def with_output_target(groups: DataFrame, output_root: str) -> DataFrame:
 
 
 def output_collisions(outputs: DataFrame) -> DataFrame:
-    """(plan, targets): plans that share an output path with another plan output.  ``outputs``
+    """(plan, target): outputs that share their path, case-insensitively, with another output.  ``outputs``
     is (plan, target), one row per predicted output."""
-    keyed = outputs.withColumn("key", F.lower("target"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(shared, "key", "left_semi").groupBy("plan").agg(
-        F.array_sort(F.collect_set("key")).alias("targets")  # a plan has a bounded number of outputs
-    )
+    keyed = outputs.select("plan", F.lower("target").alias("target"))
+    shared = keyed.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(shared, "target", "left_semi").distinct()
+
+
+def collision_notes(collisions: DataFrame) -> DataFrame:
+    """(plan, first, others): one note for each plan with a collision, however many it has."""
+    return collisions.groupBy("plan").agg(F.min("target").alias("first"), (F.count("*") - 1).alias("others"))
 
 
 def resolved_series(plans: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The JSONL event log as a source and a sink, batch and streaming."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EVENT_SCHEMA = (
     "time timestamp, level string, component string, job_id string, stage string, message string, error string, "
@@ -8,9 +9,19 @@ EVENT_SCHEMA = (
 )
 
 
+BUCKETS = 8
+
+
+def bucket(job_id: Column | str) -> Column:
+    """The bucket of a job's events: a filter on it prunes a job's log to one folder a day."""
+    return F.pmod(F.xxhash64(job_id), F.lit(BUCKETS)).cast("int")
+
+
 def write_events(events: DataFrame, folder: str) -> None:
-    """Appends events, one folder per job, so that a job's log is read alone."""
-    events.write.mode("append").partitionBy("job_id").json(folder)
+    """Appends events, in folders by day and bucket of the job; a job that has most of the events is
+    written by as many tasks as hold it."""
+    placed = events.withColumns({"day": F.to_date("time"), "bucket": bucket("job_id")})
+    placed.write.mode("append").partitionBy("day", "bucket").json(folder)
 
 
 def read_events(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA) -> DataFrame:
