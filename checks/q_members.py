@@ -50,6 +50,11 @@ def unsafe_entries(spark, sf):
     return M.with_clean_names(shelf(spark, sf)).where("unsafe").select("archive", "ordinal", "name")
 
 
+@query("climbing_entries", f"SELECT archive, ordinal, name FROM ({V.DEEP_SQL}) WHERE climbs")
+def climbing_entries(spark, sf):
+    return M.with_clean_names(V.deep(spark, sf)).where("unsafe").select("archive", "ordinal", "name")
+
+
 @query("compression_class", f"SELECT ordinal, CASE WHEN {S.isin(S.extension(S.base('name')), fv.STORED_EXTENSIONS)} THEN 'store' ELSE 'deflate' END AS method FROM ({V.SHELF_SQL})")
 def compression_class(spark, sf):
     return shelf(spark, sf).select("ordinal", M.compression_class(F.col("name")).alias("method"))

@@ -123,36 +123,51 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- archive members ------------------------------------------------------------------------
-# Documents as member paths with the shapes archives show: title folders, images, nested archives, unsafe
-# paths of any depth.  source = archive, one member per document; its whole text, letters only, is the name.
+# Lines of documents as member paths with the shapes archives show: title folders, images, nested archives,
+# unsafe paths.  source = archive, one member per line, whose letters are the name.
+_LINES_SQL = """(SELECT source, lang, s[i] AS line, doc_id * 1000000 + i - 1 AS m
+      FROM (SELECT source, lang, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i))"""
 _SHELF = {
     "shape": [
-        ("doc_id % 9 = 0", "'../' || stem || '.jpg'"),
-        ("doc_id % 9 = 1", "folder || '/' || stem || '.jpg'"),
-        ("doc_id % 9 = 2", "folder || '/' || stem || ' v' || CAST(doc_id % 40 AS VARCHAR(9)) || '.zip'"),
-        ("doc_id % 9 = 3", "folder || '/IMG_' || CAST(doc_id AS VARCHAR(20)) || '.PNG'"),
-        ("doc_id % 9 = 4", "stem || ' 第' || CAST(doc_id % 12 AS VARCHAR(9)) || '巻.rar'"),
-        ("doc_id % 9 = 5", "folder || '/'"),
-        ("doc_id % 9 = 6", "folder || '/sub/' || stem || '.webp'"),
-        ("doc_id % 9 = 7", "'scans/' || CAST(doc_id AS VARCHAR(20)) || '.jpg'"),
-        ("doc_id % 9 = 8", "folder || '/' || stem || '.7z'"),
+        ("m % 9 = 0", "'../' || stem || '.jpg'"),
+        ("m % 9 = 1", "folder || '/' || stem || '.jpg'"),
+        ("m % 9 = 2", "folder || '/' || stem || ' v' || CAST(m % 40 AS VARCHAR(9)) || '.zip'"),
+        ("m % 9 = 3", "folder || '/IMG_' || CAST(m AS VARCHAR(20)) || '.PNG'"),
+        ("m % 9 = 4", "stem || ' 第' || CAST(m % 12 AS VARCHAR(9)) || '巻.rar'"),
+        ("m % 9 = 5", "folder || '/'"),
+        ("m % 9 = 6", "folder || '/sub/' || stem || '.webp'"),
+        ("m % 9 = 7", "'scans/' || CAST(m AS VARCHAR(20)) || '.jpg'"),
+        ("m % 9 = 8", "folder || '/' || stem || '.7z'"),
     ],
 }
 _SHELF_BODY = f"""
-SELECT source || '.zip' AS archive, doc_id AS ordinal, 0 AS depth, CAST(n_chars AS BIGINT) AS size,
+SELECT source || '.zip' AS archive, m AS ordinal, 0 AS depth, CAST(length(line) AS BIGINT) AS size,
        {_case(_SHELF['shape'])} AS name
-FROM (SELECT doc_id, source, n_chars,
-             lang || ' ' || source || ' tales' AS folder,
-             regexp_replace(split_part(text, '.', 1), '[^A-Za-z]+', ' '{{g}}) AS stem
+FROM (SELECT m, source, line, lang || ' ' || source || ' tales' AS folder,
+             regexp_replace(line, '[^A-Za-z]+', ' '{{g}}) AS stem
       FROM {{documents}}) d"""
-SHELF_SQL = _SHELF_BODY.format(documents="documents", g=", 'g'")
+SHELF_SQL = _SHELF_BODY.format(documents=_LINES_SQL, g=", 'g'")
+# Folders and steps up to any depth; how far a path climbs out is known from its numbers.
+_DEEP_BODY = """
+SELECT source || '.zip' AS archive, m AS ordinal, 0 AS depth, repeat('d/', CAST(m % 21 AS INT)) || repeat('../', CAST(m % 23 AS INT)) || 'p' || CAST(m AS VARCHAR(20)) || '.jpg' AS name,
+       m % 23 > m % 21 AS climbs
+FROM {documents} d"""
+DEEP_SQL = _DEEP_BODY.format(documents=_LINES_SQL)
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")
+    return docs.select("source", "lang", "doc_id", lines).withColumn("m", F.col("doc_id") * 1000000 + F.col("pos")).drop("doc_id", "pos")
 
 
 def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang", "text")
-    return spark.sql(_SHELF_BODY.replace("{g}", ""), documents=docs).withColumn(
-        "is_dir", F.col("name").endswith("/")
-    )
+    lines = document_lines(spark, sf_dir)
+    return spark.sql(_SHELF_BODY.replace("{g}", ""), documents=lines).withColumn("is_dir", F.col("name").endswith("/"))
+
+
+def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_DEEP_BODY, documents=document_lines(spark, sf_dir))
 
 
 # --- jobs and events ---------------------------------------------------------------------------
