@@ -21,7 +21,6 @@ from shelfmark.operators.stable import pinned, spread
 
 GRAM = 5            # long enough to be rare, short enough that true pairs of any length share one
 LONG_GRAMS = (8, 6)  # the same for longer texts, where they are far rarer; the first that can hold
-BUCKETS = 1 << 18   # rows of the gram frequency table; fixed, so broadcasting it is safe
 HOT = 500           # a gram shared by more texts than this is refined to gram pairs
 
 
@@ -91,13 +90,12 @@ def _gram_keys(texts: DataFrame, share: float, gram_size: int = GRAM) -> DataFra
             )
         ).alias("grams"),
     )
-    tokens = grams.select("scope", "text", F.explode("grams").alias("gram")).withColumn(
-        "bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS))
-    )
-    weight = tokens.groupBy("bucket").agg(F.count("*").alias("weight"))
+    tokens = grams.select("scope", "text", F.explode("grams").alias("gram"))
+    # True counts, combined before the shuffle: rarest stays rarest however many grams there are.
+    weight = tokens.groupBy("gram").agg(F.count("*").alias("weight"))
     needed = (gram_size * _edits_with_any_partner(F.length("text"), share) + 1).alias("needed")
     ranked = (
-        tokens.join(F.broadcast(weight), "bucket")
+        tokens.join(weight, "gram")
         .groupBy("scope", "text")
         .agg(F.sort_array(F.collect_list(F.struct("weight", "gram"))).alias("g"))  # <= text length
         .select(
@@ -150,7 +148,7 @@ def near_pairs(texts: DataFrame, min_similarity: float) -> DataFrame:
         .unionByName(_self_join(_gram_keys(middle, share), share))
         .unionByName(_self_join(_gram_keys(long, share, long_gram), share))
     )
-    return _verified(candidates, min_similarity)
+    return _verified(candidates.distinct(), min_similarity)
 
 
 def _shortest_partner(longest: int, share: float) -> int:
