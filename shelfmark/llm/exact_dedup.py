@@ -7,7 +7,9 @@ owner task, which reads its key range in key order, chains the texts of a key an
 The owners' chains are written as the index files in the shared folder and joined to the documents.
 
 What is shuffled is small: keys, digests and ids of all documents, combined per task first, and the texts
-of repeated keys only, once for each batch of a task.  A Bloom filter of fixed size tells which texts those
+of repeated keys only, once for each batch of a task.  The keys of very large groups (more than one row in
+``HEAVY``, so fewer than HEAVY keys) are spread over ``SALTS`` owners first, each of which compares its share and
+passes one text on.  A Bloom filter of fixed size tells which texts those
 may be; a false hit is a chain of one.  A bucket that is still overfull at full depth (one key, or more text than
 DEPTH bits can part) needs no more memory, because an owner holds one key's chain at a time.
 
@@ -18,9 +20,11 @@ repeat the smallest one exactly one stays.  An empty table gives no rows.  Extra
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,7 @@ from shelfmark.llm import bloom
 from shelfmark.llm.common import small_batches, written
 
 DEPTH = 16
+HEAVY, SALTS = 4096, 64
 
 
 def normalised(text: str = "text") -> Column:
@@ -68,24 +73,29 @@ class Directory:
         return self.table[(keys.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)]
 
 
+_CHAINED = {"key": pa.int64(), "sha": pa.string(), "place": pa.int32(), "text": pa.string(), "owner": pa.int32()}
+_SCHEMA = "key long, sha string, place int, text string, owner int"
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in key order -> key, sha and place in its key's chain, for every distinct text."""
+    """Rows in (salt, key) order -> key, sha and place in its key's chain, for every distinct text.  A salted
+    row (salt 1 and up) is a share of a heavy key, so its text goes on to the key's owner."""
     at, chain, out = None, {}, []
     for b in batches:
-        for key, sha, text in zip(b["key"].to_pylist(), b["sha"].to_pylist(), b["text"].to_pylist()):
-            if key != at:
-                at, chain = key, {}
+        for key, sha, text, owner, salt in zip(*(b[c].to_pylist() for c in ("key", "sha", "text", "owner", "salt"))):
+            if (salt, key) != at:
+                at, chain = (salt, key), {}
             if sha not in chain:
                 chain[sha] = text
-                out.append((key, sha, len(chain) - 1))
+                out.append((key, sha, len(chain) - 1, text if salt else None, owner))
             elif chain[sha] != text:
                 raise ValueError(f"two texts share key {key} and digest {sha}")
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int32()))], ["key", "sha", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _CHAINED.values())], list(_CHAINED))
             out = []
 
 
-def classes(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
+def classes(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -97,8 +107,9 @@ def classes(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
     groups = written(keyed.groupBy("key", "sha").agg(
         F.min(first).alias("keep"), F.count("*").alias("group_size"), F.max("bytes").cast("long").alias("bytes")
     ).where("group_size > 1"), "dedup-groups")
-    # Keys of one digest alone may still hide texts that a digest can't tell apart, so both kinds are compared.
     n_keys = groups.count()
+    rows = groups.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    heavy = spark.sparkContext.broadcast({r["key"] for r in groups.where(F.col("group_size") > max(1000, rows // HEAVY)).select("key").collect()})
     loads = np.zeros(1 << DEPTH, np.int64)
     prefix = F.shiftrightunsigned("key", 64 - DEPTH)
     for r in groups.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("n")).collect():
@@ -115,6 +126,7 @@ def classes(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
     suspects = spark.sparkContext.broadcast(bloom.merged(groups.select("key").mapInArrow(fill, bloom.SCHEMA), bits).once)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = count(TaskContext.get().partitionId())
         for b in batches:
             keys = b["key"].to_numpy()
             at = np.flatnonzero(bloom.within(suspects.value, keys.view(np.uint64)))
@@ -124,15 +136,19 @@ def classes(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
                 if not any(b["text"][i] == b["text"][j] for j in same):
                     same.append(i)
             rows = b.take(pa.array([i for x in seen.values() for i in x], pa.int64()))
-            owner = directory.value.bucket(rows["key"].to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*(rows[c] for c in ("key", "sha", "text")), pa.array(owner, pa.int32())], ["key", "sha", "text", "owner"])
+            found = rows["key"].to_numpy(zero_copy_only=False).astype(np.int64)
+            salt = [1 + next(turn) % SALTS if k in heavy.value else 0 for k in found.tolist()]
+            arrays = [*(rows[c] for c in ("key", "sha", "text")), pa.array(directory.value.bucket(found), pa.int32()), pa.array(salt, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "sha", "text", "owner", "salt"])
 
     owners = max(len(directory.value.local), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = written(
-        texts.select("key", "sha", "text").mapInArrow(entries, "key long, sha string, text string, owner int")
-        .repartition(owners, "owner").sortWithinPartitions("owner", "key").mapInArrow(_chain, "key long, sha string, place int"),
-        "dedup-index",
+    owned = lambda df: df.repartition(owners, "owner", "salt").sortWithinPartitions("salt", "key").mapInArrow(_chain, _SCHEMA)
+    first_index = written(
+        owned(texts.select("key", "sha", "text").mapInArrow(entries, "key long, sha string, text string, owner int, salt int")), "dedup-index"
     )
+    shares = first_index.where("text IS NOT NULL").select("key", "sha", "text", "owner", F.lit(0).alias("salt"))
+    last_index = written(owned(shares), "dedup-index-heavy")
+    index = first_index.where("text IS NULL").unionByName(last_index).select("key", "sha", "place")
     indexed = groups.join(index, ["key", "sha"]).select("key", "sha", "keep", "group_size")
     joined = keyed.join(indexed, ["key", "sha"], "left")
     return joined.select(

@@ -38,11 +38,18 @@ def test_directory_doubles_until_buckets_fit():
 def test_chain_compares_bytes():
     import pyarrow as pa
 
-    rows = lambda *x: [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*x)], ["key", "sha", "text"])]
-    out = list(exact_dedup._chain(rows((1, "a", "x"), (1, "b", "y"), (1, "a", "x"), (2, "c", "z"))))
-    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(1, "a", 0), (1, "b", 1), (2, "c", 0)]
+    rows = lambda *x: [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*x)], ["key", "sha", "text", "owner", "salt"])]
+    out = list(exact_dedup._chain(rows((1, "a", "x", 0, 0), (1, "b", "y", 0, 0), (1, "a", "x", 0, 0), (2, "c", "z", 0, 0), (3, "d", "w", 0, 1))))
+    assert [tuple(r.values())[:4] for b in out for r in b.to_pylist()] == [(1, "a", 0, None), (1, "b", 1, None), (2, "c", 0, None), (3, "d", 0, "w")]
     with pytest.raises(ValueError):
-        list(exact_dedup._chain(rows((1, "a", "x"), (1, "a", "y"))))
+        list(exact_dedup._chain(rows((1, "a", "x", 0, 0), (1, "a", "y", 0, 0))))
+
+
+def test_heavy_keys_are_shared_out(spark):
+    rows = [(i, "hot text" if i % 3 else f"own {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = exact_dedup.classes(docs).where("group_size > 1").agg(F.count("*").alias("n"), F.min("keep_id").alias("k"), F.sum(F.col("kept").cast("int")).alias("s")).first()
+    assert (got.n, got.k, got.s) == (sum(i % 3 > 0 for i, _ in rows), 1, 1)
 
 
 def test_bloom_twice_holds_what_two_tasks_saw():
