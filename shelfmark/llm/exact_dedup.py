@@ -33,6 +33,7 @@ from shelfmark.llm.common import small_batches, written
 
 DEPTH = 16
 HEAVY, SALTS = 4096, 64
+LEAST_BYTES = 1 << 14
 
 
 def normalised(text: str = "text") -> Column:
@@ -114,7 +115,10 @@ def classes(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
     prefix = F.shiftrightunsigned("key", 64 - DEPTH)
     for r in groups.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("n")).collect():
         loads[r["p"]] = r["n"]
-    directory = spark.sparkContext.broadcast(Directory(loads, bucket_bytes))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Small tables are split further, so that all tasks own something.
+    capacity = min(bucket_bytes, max(LEAST_BYTES, int(loads.sum()) // tasks))
+    directory = spark.sparkContext.broadcast(Directory(loads, capacity))
     bits = bloom.bits_for(n_keys)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +145,7 @@ def classes(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
             arrays = [*(rows[c] for c in ("key", "sha", "text")), pa.array(directory.value.bucket(found), pa.int32()), pa.array(salt, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "sha", "text", "owner", "salt"])
 
-    owners = max(len(directory.value.local), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    owners = max(len(directory.value.local), tasks)
     owned = lambda df: df.repartition(owners, "owner", "salt").sortWithinPartitions("salt", "key").mapInArrow(_chain, _SCHEMA)
     first_index = written(
         owned(texts.select("key", "sha", "text").mapInArrow(entries, "key long, sha string, text string, owner int, salt int")), "dedup-index"
