@@ -16,7 +16,7 @@ A conversation may hold a third of all turns: running totals are range partition
 turn), and every grouping here is one stretch or window, whose size the budget bounds.  Only the digest of a
 whole conversation (``read_back``, which returns its turns in order) needs it in one row.
 
-Defined cases: NULL role or text is empty.  Turns go by (turn, role, text), NULL first; repeated rows are turns of their
+Defined cases: NULL role or text is empty.  Turns go by (turn, role, a hash of the text), NULL first; repeated rows are turns of their
 own.  Rows of NULL conv_id form one conversation.  The system turn is a first turn with role ``system``; any other
 system turn is an ordinary one without loss.  An empty table gives no windows.  Extra columns are not carried.
 """
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import written
 from shelfmark.operators.ordered import running_total
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -52,14 +53,18 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128) -> DataFram
     ``text``), tokens, repeated (leading turns that an earlier window has as new ones), over_budget."""
     if not 0 <= history < budget:
         raise ValueError("history must be below the budget")
-    rows = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("tokens", (F.regexp_count("text", F.lit(TOKEN)) + TURN_TOKENS).cast("long"))
-    order = [F.col("turn"), F.col("role"), F.col("text")]
-    summed = running_total(rows, ["conv_id"], order, F.col("tokens"), "stop").withColumn("start", F.col("stop") - F.col("tokens"))
-    turn = F.struct("start", "role", escaped(F.col("role")).alias("mark"), escaped(F.col("text")).alias("body"), "tokens")
-    rows = summed.select("conv_id", "start", "stop", turn.alias("turn"))
-    opening = rows.groupBy("conv_id").agg(F.min_by("turn", "start").alias("system"), F.max("stop").alias("total"))
+    text = F.coalesce("text", F.lit(""))
+    base = written(turns.select(
+        F.monotonically_increasing_id().alias("id"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
+        escaped(F.coalesce("role", F.lit(""))).alias("mark"), escaped(text).alias("body"), F.xxhash64("text").alias("h"),
+        (F.regexp_count(text, F.lit(TOKEN)) + TURN_TOKENS).cast("long").alias("tokens"),
+    ), "chat-turns")
+    # All placing is done on numbers; the texts join at the end, once for each window they stand in.
+    light = base.select("id", "conv_id", "turn", "role", "h", "tokens")
+    order = [F.col("turn"), F.col("role"), F.col("h"), F.col("id")]
+    summed = running_total(light, ["conv_id"], order, F.col("tokens"), "stop")
+    rows = written(summed.select("id", "conv_id", "role", "tokens", (F.col("stop") - F.col("tokens")).alias("start"), "stop"), "chat-sums")
+    opening = rows.groupBy("conv_id").agg(F.min_by(F.struct("id", "role", "tokens"), "start").alias("system"), F.max("stop").alias("total"))
     # A conversation of nothing but its system turn keeps it as an ordinary turn, and so gets a window.
     system = opening.where("system.role = 'system' AND total > system.tokens").select(F.col("conv_id").alias("sys_id"), "system")
     ahead = F.coalesce("system.tokens", F.lit(0))
@@ -68,31 +73,33 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128) -> DataFram
         {"room": room, "stretch": F.floor((F.col("start") - ahead) / room)}
     )
     begin = F.min("start").over(W.partitionBy("conv_id", "stretch"))
-    spanned = content.withColumn("begin", begin).withColumn(
-        "first", F.when(F.col("stop") - F.col("begin") > F.col("room"), F.col("start")).otherwise(F.col("begin"))
-    )
-    spans = spanned.groupBy("conv_id", "first").agg(
-        F.sort_array(F.collect_list("turn")).alias("span"), F.first("system").alias("system")
-    )
-    # A turn that starts at most ``history`` tokens before a span lies in the span's cell or the one before.
+    spanned = written(content.withColumn("begin", begin).select(
+        "id", "conv_id", "start", "stop", "system",
+        F.when(F.col("stop") - F.col("begin") > F.col("room"), F.col("start")).otherwise(F.col("begin")).alias("first"),
+    ), "chat-spans")
+    spans = spanned.groupBy("conv_id", "first").agg(F.first("system").alias("system"))
+    # A turn that starts at most ``history`` tokens before a span is no longer than that, and lies in the
+    # span's cell or the one before.
     cell = lambda c: F.floor(F.col(c) / max(history, 1))
-    near = spanned.select(
-        F.col("conv_id").alias("h_id"), "turn", F.col("start").alias("h_start"), F.col("first").alias("h_first"),
+    near = spanned.where(F.col("stop") - F.col("start") <= history).select(
+        "id", F.col("conv_id").alias("h_id"), F.col("start").alias("h_start"), F.col("first").alias("h_first"),
         F.explode(F.array(cell("start"), cell("start") + 1)).alias("h_cell"),
     )
     before = spans.select("conv_id", "first", cell("first").alias("cell")).join(
         near, F.col("conv_id").eqNullSafe(F.col("h_id")) & (F.col("cell") == F.col("h_cell"))
         & (F.col("h_first") < F.col("first")) & (F.col("h_start") >= F.col("first") - history),
-    ).groupBy("conv_id", "first").agg(F.sort_array(F.collect_list("turn")).alias("before"))
-    before = before.select(F.col("conv_id").alias("b_id"), F.col("first").alias("b_first"), "before")
-    joined = spans.join(before, F.col("conv_id").eqNullSafe(F.col("b_id")) & (F.col("first") == F.col("b_first")), "left")
-    none = F.array().cast(joined.schema["span"].dataType)
-    head = F.when(F.col("system").isNull(), none).otherwise(F.array("system"))
-    past = F.coalesce("before", none)
-    opens = F.col("first") == F.coalesce("system.tokens", F.lit(0))  # here the system turn is new
-    parts = joined.select(
-        "conv_id", "first", F.concat(head, past, "span").alias("parts"),
-        F.when(opens, 0).otherwise(F.size(head) + F.size(past)).alias("repeated"),
+    )
+    opens = F.col("first") == F.col("system.tokens")  # here the system turn is new
+    placed = (
+        spanned.select("id", "conv_id", "first", "start", F.lit(False).alias("again"))
+        .unionByName(before.select("id", "conv_id", "first", F.col("h_start").alias("start"), F.lit(True).alias("again")))
+        .unionByName(spans.where("system IS NOT NULL").select(
+            "system.id", "conv_id", "first", F.lit(0).cast("long").alias("start"), (~opens).alias("again")
+        ))
+    )
+    turn = F.struct("start", "role", "mark", "body", "tokens")
+    parts = placed.join(base.select("id", "role", "mark", "body", "tokens"), "id").groupBy("conv_id", "first").agg(
+        F.sort_array(F.collect_list(turn)).alias("parts"), F.count_if("again").cast("int").alias("repeated")
     )
     return _formatted(parts, budget)
 
