@@ -153,7 +153,8 @@ def classes(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
     shares = first_index.where("text IS NOT NULL").select("key", "sha", "text", "owner", F.lit(0).alias("salt"))
     last_index = written(owned(shares), "dedup-index-heavy")
     index = first_index.where("text IS NULL").unionByName(last_index).select("key", "sha", "place")
-    indexed = groups.join(index, ["key", "sha"]).select("key", "sha", "keep", "group_size")
+    # Written, so that the last join reads two plain tables and a hot key of it can be split.
+    indexed = written(groups.join(index, ["key", "sha"]).select("key", "sha", "keep", "group_size"), "dedup-classes")
     joined = keyed.join(indexed, ["key", "sha"], "left")
     return joined.select(
         "doc_id", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
