@@ -1,12 +1,13 @@
 """Document quality by hierarchical empirical Bayes.
 
 A logistic classifier over simple text measures gives every document a probability of good quality.  Each document
-is one trial of its site: its label where it may be learned from, else the classifier's probability.  Grouped
+is one trial: its label where it may be learned from, else the classifier's probability.  A document with k distinct
+sites (mirrors) is 1/k of that trial at each of them.  Grouped
 aggregation counts the trials of every (host, path) and every host; the prior strengths of hosts below the whole
 and of paths below hosts come from the spread between groups (ANOVA estimate of a beta prior).  A host's mean
 is shrunk toward the whole, a path's toward its host, so a sparse site stays near the global prior.  The
-final log odds are the document's plus its path's, less the whole's; a document's own trial is taken out of
-its site first, so nothing counts twice.
+final log odds are the document's plus its path's (the mean of the log odds of its paths), less the whole's; a
+document's own trial is taken out of its sites first, so nothing counts twice.
 
 The classifier is fitted on at most ``sample`` labelled documents (a documented bound, chosen by a hash of
 doc_id); all counts cover all documents.  A host with a third of all rows is combined before the shuffle,
@@ -116,13 +117,22 @@ def _logit(p: Column) -> Column:
 
 
 def posteriors(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, host, path, p) -> doc_id, score, p (the document alone), host_mean and path_mean (its
-    site's posteriors) of every row."""
+    """``rows`` (doc_id, host, path, p, and optionally sites: further distinct (host, path) that stand for the row
+    instead) -> doc_id, score, p (the document alone), host_mean and path_mean (its sites' posteriors) of every row."""
+    own = F.array(F.struct("host", "path"))
+    if "sites" not in rows.columns:
+        rows = rows.withColumn("sites", own)
+    filled = F.transform(F.coalesce("sites", own), lambda s: F.struct(
+        F.coalesce(s["host"], F.lit("")).alias("host"), F.coalesce(s["path"], F.lit("")).alias("path")
+    ))
     seen = written(
-        rows.join(trials(labels), "doc_id", "left").withColumn("t", F.coalesce("y", "p"))
-        .withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))}), "quality-evidence",
+        rows.join(trials(labels), "doc_id", "left").select(
+            "doc_id", "p", F.coalesce("y", "p").alias("t"), F.array_distinct(filled).alias("sites"), F.monotonically_increasing_id().alias("row")
+        ), "quality-evidence",
     )
-    paths = seen.groupBy("host", "path").agg(F.count("*").alias("pn"), F.sum("t").alias("ps"))
+    # A document of k sites is 1/k of a trial at each, so that it counts once in the whole.
+    each = seen.select("row", "p", "t", (1 / F.size("sites")).alias("w"), F.explode("sites").alias("site")).select("row", "p", "t", "w", "site.host", "site.path")
+    paths = each.groupBy("host", "path").agg(F.sum("w").alias("pn"), F.sum(F.col("w") * F.col("t")).alias("ps"))
     hosts = paths.groupBy("host").agg(F.sum("pn").alias("hn"), F.sum("ps").alias("hs"))
     sites = written(paths.join(hosts, "host"), "quality-sites")
     tops = sites.select("host", "hn", "hs").distinct()
@@ -137,23 +147,40 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> DataFrame:
     ).first()
     m_host = strength(top["q"], whole["k"], 1, n - top["c"], g)
     m_path = strength(low["q"], low["k"], whole["k"], n - low["c"], g)
-    placed = seen.join(sites, ["host", "path"])
-    host_mean = (F.col("hs") - F.col("t") + m_host * g) / (F.col("hn") - 1 + m_host)
-    path_mean = (F.col("ps") - F.col("t") + m_path * F.col("host_mean")) / (F.col("pn") - 1 + m_path)
-    logit = _logit(F.col("p")) + _logit(F.col("path_mean")) - _logit(F.lit(g))
-    return placed.withColumn("host_mean", host_mean).withColumn("path_mean", path_mean).select(
-        "doc_id", (1 / (1 + F.exp(-logit))).alias("score"), "p", "host_mean", "path_mean"
+
+    def scored(placed: DataFrame, host_own: Column, path_own: Column) -> DataFrame:
+        """``host_own`` and ``path_own``: the weight of the row's own trial at its host and path."""
+        host_mean = (F.col("hs") - host_own * F.col("t") + m_host * g) / (F.greatest(F.col("hn") - host_own, F.lit(0.0)) + m_host)
+        path_mean = (F.col("ps") - path_own * F.col("t") + m_path * F.col("host_mean")) / (F.greatest(F.col("pn") - path_own, F.lit(0.0)) + m_path)
+        return placed.withColumn("host_mean", host_mean).withColumn("path_mean", path_mean)
+
+    # Most rows have one site; only the others meet again on their row.
+    one = scored(
+        seen.where(F.size("sites") == 1).select("doc_id", "p", "t", F.col("sites")[0]["host"].alias("host"), F.col("sites")[0]["path"].alias("path")).join(sites, ["host", "path"]),
+        F.lit(1.0), F.lit(1.0),
+    ).select("doc_id", "p", "host_mean", "path_mean")
+    # At a host the row has as many shares of its trial as it has sites there.
+    at_host = F.size(F.filter("sites", lambda s: s["host"] == F.col("site.host")))
+    several = seen.where(F.size("sites") > 1).withColumn("site", F.explode("sites")).select(
+        "row", "doc_id", "p", "t", "site.host", "site.path", (at_host / F.size("sites")).alias("hw"), (1 / F.size("sites")).alias("w")
     )
+    several = scored(several.join(sites, ["host", "path"]), F.col("hw"), F.col("w"))
+    back = lambda c: 1 / (1 + F.exp(-F.avg(_logit(F.col(c)))))
+    more = several.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("p").alias("p"), back("host_mean").alias("host_mean"), back("path_mean").alias("path_mean"))
+    both = one.unionByName(more.drop("row"))
+    logit = _logit(F.col("p")) + _logit(F.col("path_mean")) - _logit(F.lit(g))
+    return both.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"), "p", "host_mean", "path_mean")
 
 
 def with_sites(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, host, path, ...) with the host and first path segment of a page whose address ends in
-    the document's id, where there is one."""
+    """``rows`` (doc_id, host, path, ...) with ``sites``: the distinct (host, first path segment) of all pages whose
+    address ends in the document's id.  Where there are any, host and path are those of the first."""
     found = pages.select(
         F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})([.]html)?/?([?#].*)?$', 1) AS bigint)").alias("p_id"),
         F.struct(
             F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]*/([^/?#]*)/", 1).alias("path")
         ).alias("site"),
-    ).where("p_id IS NOT NULL").groupBy("p_id").agg(F.min("site").alias("site"))
+    ).where("p_id IS NOT NULL").groupBy("p_id").agg(F.sort_array(F.collect_set("site")).alias("sites"))
     joined = rows.join(found, F.col("doc_id") == F.col("p_id"), "left")
-    return joined.withColumns({"host": F.coalesce("site.host", "host"), "path": F.coalesce("site.path", "path")}).drop("p_id", "site")
+    first = F.get("sites", F.lit(0))
+    return joined.withColumns({"host": F.coalesce(first["host"], "host"), "path": F.coalesce(first["path"], "path")}).drop("p_id")
