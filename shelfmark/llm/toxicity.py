@@ -2,10 +2,11 @@
 
 A text is cut into clauses; every word becomes a symbol: insult, threat, target, negation, reporting verb or other.
 Small transducers read the symbols of a clause: ``negation`` marks what follows a negation within three words,
-``reported`` what follows a reporting verb, ``target`` what shares the clause with a person spoken to or about, and
-``threat`` a threat verb whose target follows within four words.  Their composition is one table of states, so a
-clause is scored in one pass; each insult adds its weight to the path it was read on (plain, targeted, negated,
-reported), each completed threat to its own.  A logistic regression over the path sums and their density gives the score, so
+``reported`` what follows a reporting verb, ``target`` what follows a person spoken to or about, and
+``threat`` a threat verb with a target within four words on either side.  Their composition is one table of states, so a
+clause is read in one pass; each insult adds its weight to the path it was read on (plain, targeted, negated,
+reported), where a target that comes later in the clause still makes a plain insult a targeted one.  Each threat verb
+counts once, when its target is there, on the path that the verb was read on (threat, negated or reported threat).  A logistic regression over the path sums and their density gives the score, so
 the labels decide how much a negated or reported insult still counts.
 
 The insult lexicon is learned: words and word beginnings whose log odds of standing in toxic documents are
@@ -37,16 +38,26 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
 #: Fixed cue words of the grammar (English, German, French, Spanish).
 CUES = {
-    THREAT: "kill hurt destroy beat burn shoot stab töten schlagen zerstören tuer frapper détruire matar golpear destruir",
-    TARGET: "you your he she him her they them people du dein euch ihr sie tu toi vous elle ils usted ustedes ella ellos",
+    TARGET: "you your he she him her they them people du dich dir dein euch ihr ihn ihm ihnen sie tu te toi vous lui elle ils usted ustedes ella ellos",
     NEGATION: "not never isn aren nicht kein keine nie ne pas jamais no nunca",
     REPORT: "said says wrote called quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó",
 }
+_ER = "er|e|es|ons|ez|ent|é|ée|és|ées|ant|ais|ait|aient|erai|eras|era|erons|erez|eront|erais|erait|eraient"
+_AR = "ar|o|as|a|amos|áis|an|ando|ado|ada|ados|adas|é|aste|ó|aron|aba|abas|aban|aré|arás|ará|aremos|aréis|arán|aría|arías|arían|e|es|en|emos"
+#: Threat verbs as stems with their endings, whole words.
+THREAT_VERB = re.compile("|".join([
+    "(kill|destroy|burn)(s|ed|ing)?|burnt|hurt(s|ing)?|beat(s|en|ing)?|shoot(s|ing)?|shot|stab(s|bed|bing)?",
+    "(ge)?töt(e|est|et|en|ete|etest|eten|end)|(ge)?schlagen|schlag(e|t)|schläg(st|t)|schlug(st|en)?|zerstör(e|st|t|en|te|test|ten|end)",
+    f"tu({_ER})|frapp({_ER})|détrui(re|s|t|te|ts|tes|sons|sez|sent|sant|sait|rai|ras|ra|rons|rez|ront)",
+    f"mat({_AR})|golpe({_AR})|destru(ir|yo|yes|ye|imos|yen|yendo|ido|ida|í|iste|yó|yeron|iré|irás|irá|iremos|irán|ya|yas|yan)",
+]))
+#: English words that look like a form of matar.
+NO_THREAT = {"mate", "mates", "maten"}
 BEGINNINGS = range(3, 9)
 #: Log odds from which a form is an insult: fifty times as usual in toxic documents.
 LEAST_ODDS = 4.0
 CACHE = 300_000
-PATHS = ("plain", "targeted", "negated", "reported", "threat")
+PATHS = ("plain", "targeted", "negated", "reported", "threat", "negated threat", "reported threat")
 MEASURES = len(PATHS) + 1
 
 
@@ -95,20 +106,26 @@ GRAMMAR = compose([
     counter(REPORT, 1, {INSULT: "reported", THREAT: "reported"}, forget=False),
     counter(TARGET, 1, {INSULT: "targeted"}, forget=False),
     counter(THREAT, 4, {TARGET: "threat"}),
+    counter(TARGET, 4, {THREAT: "threat"}),
 ])
 
 
 def clause_paths(symbols: list[int], weights: list[float], grammar: Transducer = GRAMMAR) -> dict[str, float]:
-    """What one clause adds to each path.  A negated or reported insult is on that path only."""
+    """What one clause adds to each path.  A negated or reported insult or threat is on that path only."""
     out: dict[str, float] = {}
-    state = 0
+    state, waiting = 0, ""
     for symbol, weight in zip(symbols, weights):
         state, marks = grammar.arcs[state][symbol]
         if symbol == INSULT:
             path = next((p for p in ("negated", "reported", "targeted") if p in marks), "plain")
             out[path] = out.get(path, 0.0) + weight
-        elif "threat" in marks:
-            out["threat"] = out.get("threat", 0.0) + 1.0
+        elif symbol == THREAT:
+            waiting = next((f"{p} threat" for p in ("negated", "reported") if p in marks), "threat")
+        if waiting and "threat" in marks:
+            out[waiting] = out.get(waiting, 0.0) + 1.0
+            waiting = ""
+    if "plain" in out and TARGET in symbols:
+        out["targeted"] = out.get("targeted", 0.0) + out.pop("plain")
     return out
 
 
@@ -133,6 +150,8 @@ class Reader(dict):
         else:
             weight = max((self.lexicon.get(f, 0.0) for f in forms_of(word)), default=0.0)
             got = (INSULT, weight) if weight else self.cues.get(word, (OTHER, 0.0))
+            if got[0] == OTHER and word not in NO_THREAT and THREAT_VERB.fullmatch(word):
+                got = (THREAT, 0.0)
         if len(self) >= CACHE:
             self.clear()
         self[word] = got
