@@ -9,7 +9,9 @@ The located spans are merged per document.
 The index alphabet is the vocabulary of the phrases.  A stretch of other words ends a segment, and a segment
 shorter than the shortest phrase can't hold an occurrence, so neither is indexed; this loses nothing.
 Phrases are broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words; a larger benchmark takes one
-pass for each block, which adds its spans to those of the blocks before.
+pass for each block, which adds its spans to those of the blocks before.  The result of each pass but the last is
+written and its phrases are released before the next, so tasks hold one block, and the driver one block and the next
+with one partition of the benchmark.
 
 Defined cases: NULL or wordless texts have no words and no hits; so has everything when the benchmark is
 empty.  An item without words is no phrase.  Items that share a window all count.  A NULL item_id takes part in
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import guarded, small_batches
+from shelfmark.llm.common import guarded, small_batches, written
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -218,14 +220,15 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
-    block, size = [], 0
+    block, size, seen = [], 0, False
     for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         block.append((r["item_id"] or "", r["text"]))
         size += len(words_of(r["text"]))
         if size >= most:
             yield block
-            block, size = [], 0
-    yield block
+            block, size, seen = [], 0, True
+    if block or not seen:
+        yield block
 
 
 _TYPES = {"_spans": pa.list_(pa.list_(pa.int64())), "_items": pa.list_(pa.string())}
@@ -241,7 +244,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         "_spans": F.array().cast("array<array<bigint>>"),
         "_items": F.array().cast("array<string>"),
     })
-    for block in _blocks(benchmark, block_words):
+    blocks = _blocks(benchmark, block_words)
+    block = next(blocks)
+    while block is not None:
         shipped = spark.sparkContext.broadcast(phrases_of(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -261,6 +266,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             yield from _judged(held, phrases)
 
         out = out.mapInArrow(run, out.schema)
+        block = next(blocks, None)
+        if block is not None:
+            out = written(out, "decontaminate-block")
+            shipped.destroy()
     return out
 
 
