@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
 rereads it as the next stage's ``docs``.  All but the last return the columns of ``docs``.
 
-1. language: documents without a recognised language go.
+1. language: documents of language ``und`` go, those without a letter (all, if nothing was learned).  No least score
+   is set, so text of a language that was never learned stays.
 2. lines: lines that 10 or more documents have are taken out of every text; ``n_chars`` follows the text.
 3. near duplicates: one document of each SimHash component stays.
 4. benchmark: contaminated documents go.
