@@ -60,7 +60,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Word models, XXH64 and tokenizers are beyond SQL; tests/llm holds each stage against a brute-force version.
+#: Word models, XXH64 and tokenizers are beyond SQL.  tests/llm holds lines and near duplicates against brute force; of
+#: language it checks the row count, of benchmark the operator's own flags, of packing the set of ids.  ``run`` is in no test.
 ORACLE_SQL = None
 
 
