@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    chat, decontaminate, exact_dedup, langid, line_dedup, packing, quality, simhash, token_files, toxicity,
+    chat, decontaminate, exact_dedup, langid, line_dedup, packing, quality, simhash, token_files, toxicity, warc,
 )
-from shelfmark.llm.common import fold_of, table
+from shelfmark.llm.common import fold_of, shared_folder, table, written
 
 
 def tokenizer_file(name: str) -> str:
@@ -96,9 +96,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=packing.Capacity(tokens=2048))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"), at_least=0)
+    captures = written(warc.captures(warc.records(spark, path)).select(
+        "capture_id", warc.page_id_of(F.col("metadata")).alias("page_id"), F.col("type").alias("record_type"),
+        "response.refers_to", "response.payload_bytes", "response.payload_digest",
+    ), "warc-captures")
+    first = captures.where("record_type = 'response'").select(
+        F.col("capture_id").alias("refers_to"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"),
+        F.col("payload_digest").alias("_digest"),
+    )
+    return captures.join(first, "refers_to", "left").select(
+        "page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "_digest").alias("payload_digest"),
+        "record_type", F.col("_page").alias("refers_to"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_decontaminate, op3_toxicity, op4_exact_dedup, op5_line_dedup, op6_chat_format, op7_quality,
-    op8_simhash, op9_token_files, op10_best_fit_packing,
+    op8_simhash, op9_token_files, op10_best_fit_packing, op11_warc,
 )}
 
 _OP2 = r"""
@@ -158,4 +174,13 @@ SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, min(z.chars)::BIGINT AS formatted_chars
 FROM s JOIN z USING (conv_id) GROUP BY s.conv_id"""
 
-SQL = {"op2_decontaminate": _OP2, "op4_exact_dedup": _OP4, "op5_line_dedup": _OP5, "op6_chat_format": _OP6}
+_OP11 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, upper(sha1(payload)) AS x, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  translate(array_to_string([to_base(CAST('0x' || x[i:i + 9] AS BIGINT), 32, 8) FOR i IN [1, 11, 21, 31]], ''),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d"""
+
+SQL = {"op2_decontaminate": _OP2, "op4_exact_dedup": _OP4, "op5_line_dedup": _OP5, "op6_chat_format": _OP6, "op11_warc": _OP11}
