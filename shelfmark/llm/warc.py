@@ -32,7 +32,8 @@ from shelfmark.llm.common import BATCH_BYTES, small_batches, written
 from shelfmark.operators.ordered import row_numbers
 
 END = "\r\n\r\n"  # ends a header and a record
-CUT = END + "WARC/1."
+#: No part of it begins anew within it: the line reader misses a delimiter whose partial matches overlap at a buffer's end.
+CUT = "\r\nWARC/1."
 DATE = "1970-01-01T00:00:00Z"
 
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
