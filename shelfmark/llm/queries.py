@@ -99,7 +99,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"), at_least=0)
-    captures = written(warc.captures(warc.records(spark, path)).select(
+    # Payloads are measured where they are read; only those of metadata records go on.
+    own = F.when(F.col("type") == "metadata", F.col("payload"))
+    rows = written(warc.records(spark, path).drop("block").withColumn("payload", own), "warc-records")
+    captures = written(warc.captures(rows).select(
         "capture_id", warc.page_id_of(F.col("metadata")).alias("page_id"), F.col("type").alias("record_type"),
         "response.refers_to", "response.payload_bytes", "response.payload_digest",
     ), "warc-captures")
