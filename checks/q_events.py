@@ -1,6 +1,7 @@
 """Queries of jobs, events, logs and streams."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -221,13 +222,34 @@ def stream_job_state(spark, sf):
     return spark.read.parquet(f"{folder}/state")
 
 
+@contextmanager
+def settings(spark, **values):
+    """Session settings for as long as a stream needs them."""
+    names = {k: f"spark.sql.streaming.{k.replace('_', '.')}" for k in values}
+    before = {k: spark.conf.get(n, None) for k, n in names.items()}
+    try:
+        for k, n in names.items():
+            spark.conf.set(n, values[k])
+        yield
+    finally:
+        for k, n in names.items():
+            spark.conf.unset(n) if before[k] is None else spark.conf.set(n, before[k])
+
+
 @query("stream_throttle", _THR)
 def stream_throttle(spark, sf):
+    """The log comes in an earlier and a later half; between them the stream stops and starts again from its checkpoint."""
     folder = scratch(spark)
-    finished(
-        live.throttled_stream(spark.sql(_GAPS, src=log_stream(spark, sf)), EVERY, expire=False).writeStream.outputMode("append").format("parquet")
-        .option("path", f"{folder}/kept").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    )
+    log = spark.sql(_GAPS, src=V.log(spark, sf)).drop("props")
+    cut = log.agg(F.percentile_approx("time", 0.5)).first()[0]
+    for part in (F.col("time") < F.lit(cut), F.col("time") >= F.lit(cut)):
+        log.where(part).write.mode("append").parquet(f"{folder}/log")
+        arriving = spark.readStream.schema(log.schema).parquet(f"{folder}/log")
+        with settings(spark, stateStore_providerClass=live.ROCKSDB, noDataMicroBatches_enabled="false"):
+            finished(
+                live.throttled_stream(arriving, EVERY).writeStream.outputMode("append").format("parquet")
+                .option("path", f"{folder}/kept").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+            )
     return spark.read.parquet(f"{folder}/kept").select("job_id", "line")
 
 

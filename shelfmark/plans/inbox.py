@@ -8,14 +8,21 @@ from shelfmark.functions import naming as N
 from shelfmark.functions.text import computed_here, extension
 
 
-def reused_folders(series: DataFrame, files: DataFrame, output_root: str) -> DataFrame:
+def reused_folders(series: DataFrame, files: DataFrame, output_root: str, shared: bool = False) -> DataFrame:
     """``series`` -> adds ``folder``: an existing output folder with the same canonical key is
-    reused, the best rated spelling first, so that new volumes join it."""
+    reused, the best rated spelling first, so that new volumes join it.  With ``shared``, spellings of a series that has no
+    folder yet agree on one of themselves by the same rule."""
     there = (
         files.where((F.col("root") == output_root) & F.col("rel").contains("/"))
         .select(F.substring_index("rel", "/", 1).alias("there")).where("NOT startswith(there, '.')").distinct()
     )
-    there = N.with_profile(there, "there", "t")
+    there = N.with_profile(there, "there", "t").select("there", "t")
+    if shared:
+        fresh = N.with_profile(series.select("series").distinct(), "series", "t")
+        known = there.select(F.col("t.key").alias("_known"))
+        there = there.unionByName(
+            fresh.join(known, F.col("t.key") == F.col("_known"), "left_anti").select(F.col("series").alias("there"), "t")
+        )
     best = there.groupBy(F.col("t.key").alias("_key")).agg(
         F.min_by(F.struct("there", "t"), F.struct((-F.col("t.rank.count")).alias("c"), F.col("there"))).alias("b")
     )
