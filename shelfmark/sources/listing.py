@@ -1,13 +1,19 @@
 """File listings: roots, recursion, the archive filter and the quarantine folder."""
 
+import os
 import posixpath
+import re
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions import rx
 from shelfmark.functions.text import basename, clean_path, extension
+from shelfmark.operators.stable import ensure_checkpoint_dir, spread
 
 QUARANTINE = ".quarantine"
 
@@ -35,38 +41,87 @@ def listing_order(root_ord: Column, rel: Column) -> Column:
     return F.concat(F.lpad(root_ord.cast("string"), 3, "0"), F.lit("\x01"), F.translate(rel, "/", "\x01"))
 
 
-def list_root(spark: SparkSession, root: str, include_quarantine: bool = False, quarantine: str = QUARANTINE) -> DataFrame:
-    """Regular files under one root, metadata only: the ``content`` column is never read.  The
-    file index hides dot folders, so the quarantine folder is read as a root of its own."""
-
-    def scan(path):
-        return (
-            spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            .option("ignoreMissingFiles", True).load(path)
-            .select(F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-        )
-
-    files = scan(root)
-    if include_quarantine:
-        hidden = f"{root}/{quarantine}"
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(hidden)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            files = files.unionByName(scan(hidden))
-    return files.withColumn("path", F.regexp_replace("path", r"\A[a-z0-9]+:/+", "/"))
-
-
-def list_files(spark: SparkSession, roots: list[str], output_root: str | None = None, include_quarantine: bool = False) -> DataFrame:
-    """(path, root, rel, name, size, modified, ord) of all roots; a path seen twice stays with
-    its first root."""
-    clean, _ = normalise_roots(roots, output_root)
-    parts = None
-    for i, root in enumerate(clean):
-        rows = list_root(spark, root, include_quarantine).select(
-            "path", F.lit(root).alias("root"), F.lit(i).alias("root_ord"), "size", "modified"
-        )
-        parts = rows if parts is None else parts.unionByName(rows)
-    return first_listing(parts)
+ENTRY_SCHEMA = (
+    "root_ord int, root string, kind string, path string, size bigint, modified timestamp, error string"
+)
+
+
+def _entries(batches: Iterator[pa.RecordBatch], include_quarantine: bool, quarantine: str) -> Iterator[pa.RecordBatch]:
+    """The children of each folder: files, folders to go on with, and an error row for what can't be read."""
+    from pyarrow import fs
+
+    stores: dict[str, fs.FileSystem] = {}
+    names = [f.split()[0] for f in ENTRY_SCHEMA.split(", ")]
+    types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
+
+    rows: list[tuple] = []
+    for b in batches:
+        for root_ord, root, path in zip(b["root_ord"].to_pylist(), b["root"].to_pylist(), b["path"].to_pylist()):
+            scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/]*", path)
+            scheme = scheme[0] if scheme else "file://"
+            bare = path[len(scheme) :] if path.startswith(scheme) else path
+            try:
+                if scheme not in stores:
+                    stores[scheme] = fs.LocalFileSystem() if scheme == "file://" else fs.FileSystem.from_uri(f"{scheme}/")[0]
+                found = stores[scheme].get_file_info(fs.FileSelector(bare))
+            except (OSError, pa.ArrowException, ValueError) as e:
+                rows.append((root_ord, root, "error", path, None, None, str(e).split(". Detail")[0]))
+                continue
+            for f in found:
+                child = f"{path.rstrip('/')}/{f.base_name}"
+                if f.type == fs.FileType.Directory:
+                    # A link to a folder is neither followed nor a regular file.
+                    linked = scheme == "file://" and os.path.islink(f.path)
+                    if not linked and (include_quarantine or f.base_name != quarantine):
+                        rows.append((root_ord, root, "folder", child, None, None, None))
+                elif f.type == fs.FileType.File and not (scheme == "file://" and os.path.islink(f.path)):
+                    at = None if f.mtime_ns is None else f.mtime_ns // 1000
+                    rows.append((root_ord, root, "file", child, f.size, at, None))
+                if len(rows) == 10_000:
+                    yield batch(rows)
+                    rows = []
+    yield batch(rows)
+
+
+def walk(spark: SparkSession, roots: list[str], include_quarantine: bool = False, quarantine: str = QUARANTINE) -> DataFrame:
+    """(root_ord, root, kind, path, size, modified, error) of all that lies below the roots; kind is ``file``, ``folder`` or ``error``.
+
+    The tree is listed level by level: the folders that one level finds are dealt out anew as the tasks of the next, so
+    a deep or lopsided tree keeps all tasks busy and no file index is held on the driver.  Each level is written before
+    the next begins; a task that is lost lists its folders again.  A folder that can't be read gives one error row, and the walk goes on.
+    Roots are paths that the executors see, or addresses (``hdfs://``, ``s3://``) of stores that pyarrow reads."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/listing-{uuid.uuid4().hex}"
+    todo = spark.createDataFrame([(i, r, r) for i, r in enumerate(roots)], "root_ord int, root string, path string")
+    level = 0
+    while True:
+        spread(todo, "path").mapInArrow(lambda b: _entries(b, include_quarantine, quarantine), ENTRY_SCHEMA).write.parquet(f"{base}/level={level}")
+        todo = spark.read.schema(ENTRY_SCHEMA).parquet(f"{base}/level={level}").where("kind = 'folder'").select("root_ord", "root", "path")
+        if todo.isEmpty():
+            break
+        level += 1
+    return spark.read.schema(ENTRY_SCHEMA).parquet(*[f"{base}/level={k}" for k in range(level + 1)])
+
+
+def list_files(
+    spark: SparkSession, roots: list[str], output_root: str | None = None, include_quarantine: bool = False, quarantine: str = QUARANTINE
+) -> DataFrame:
+    """(path, root, rel, name, size, modified, ord) of all files below the roots; a path seen twice stays with its first root."""
+    return listed(walk(spark, normalise_roots(roots, output_root)[0], include_quarantine, quarantine))
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    return first_listing(entries.where("kind = 'file'").select("path", "root", "root_ord", "size", "modified"))
+
+
+def unreadable(entries: DataFrame) -> DataFrame:
+    """(root, path, error): folders that could not be read, once each."""
+    return entries.where("kind = 'error'").groupBy("path").agg(
+        F.min_by(F.struct("root", "error"), "root_ord").alias("e")
+    ).select("e.root", "path", "e.error")
 
 
 def first_listing(listed: DataFrame) -> DataFrame:
