@@ -12,7 +12,7 @@ from shelfmark.functions import fixed_values as fv
 from shelfmark.functions import naming as N
 from shelfmark.functions import rx
 from shelfmark.functions.text import basename, clean_path, computed_here, extension, has_japanese, trimmed, without_extension
-from shelfmark.operators.ordered import row_numbers, with_previous
+from shelfmark.operators.ordered import row_numbers, running_total, with_previous
 from shelfmark.operators.stable import pinned
 
 
@@ -121,45 +121,90 @@ def split_groups(entries: DataFrame) -> DataFrame:
     )
 
 
-def unique_members(entries: DataFrame) -> DataFrame:
-    """``entries`` -> adds ``unique_name``: later entries whose name is taken (case-insensitively)
-    become ``stem (n).ext`` with the least free n.
-
-    Names only interact inside a family (the name without trailing numbers).  A family with no
-    numbered names is a plain ranking; only mixed families run the sequential rule."""
-    numbered = r"( \([0-9]+\))+(\.[^./]*|)\z"
-    df = computed_here(
-        entries, low=F.lower("name"),
-        family=F.lower(F.regexp_replace("name", numbered, "$2")),
+#: Trailing numbers that the rule itself makes: from 2, without leading zeros.
+_MADE = r"(?: \((?:[2-9]|[1-9][0-9]{1,4})\))"
+
+
+def _number_slots(over: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Numbers for the entries ``over`` (archive, key, at) whose key is taken, in order of ``at``; ``wanted`` (archive, key, n, at) are the
+    numbered names that entries ask for themselves, with the first of each.  Gives ``over`` with ``n`` and ``wanted`` with ``taken``: an entry of
+    ``over`` was there before.
+
+    Each takes the least number that is free when it comes, so the numbers of one key grow.  The j-th would get j + 1 and
+    is moved up by one for each wanted number on its way that is held already.  Whether a wanted number is held
+    when its turn comes depends on how many before it are; with r entries of ``over`` before its first asker that is so if
+    fewer than n - 1 - r are.  The counts are bounded from both sides by running totals until every number is decided."""
+    group = ["archive", "key"]
+    if wanted.isEmpty():
+        return row_numbers(over, group, [F.col("at")], "n").withColumn("n", F.col("n") + 1), None
+    both = over.select(*group, "at", F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("n")).unionByName(
+        wanted.select(*group, "at", F.lit(0).alias("one"), "n")
     )
-    mixed = df.groupBy("archive", "family").agg(F.count_if(F.col("low") != F.col("family")).alias("m"), F.count_if(F.col("low") == F.col("family")).alias("p"))
-    df = df.join(mixed, ["archive", "family"])
-    rank = F.row_number().over(W.partitionBy("archive", "low").orderBy("ordinal"))
-    ext = F.regexp_extract("name", r"\.[^./]*\z", 0)
-    renamed = F.concat(without_extension(F.col("name")), F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), ext)
-    plain = df.where("m = 0").withColumn("_k", rank).withColumn(
-        "unique_name", F.when(F.col("_k") == 1, F.col("name")).otherwise(renamed)
+    both = pinned(running_total(both, group, [F.col("at")], F.col("one"), "j"))
+    slots = both.where("one = 0").select(*group, "n", "at", (F.col("n") - 1 - F.col("j")).alias("room"))
+
+    def before(rows: DataFrame, flag: Column, out: str) -> DataFrame:
+        rows = running_total(rows.withColumn("_flag", flag.cast("int")), group, [F.col("n")], F.col("_flag"), out)
+        return rows.withColumn(out, F.col(out) - F.col("_flag")).drop("_flag")
+
+    slots = before(slots.withColumn("low", F.lit(0)), F.lit(True), "high")
+    while True:
+        slots = pinned(slots)
+        if slots.where("low < room AND room <= high").isEmpty():
+            break
+        held, free = F.col("high") < F.col("room"), F.col("low") >= F.col("room")
+        slots = before(slots.withColumns({"_held": held, "_free": free}).drop("low", "high"), F.col("_held"), "low")
+        slots = before(slots, ~F.col("_free"), "high").drop("_held", "_free")
+    slots = pinned(before(slots.withColumn("held", F.col("high") < F.col("room")), F.col("held"), "held_before"))
+    turn = (F.col("n") - 1 - F.col("held_before")).alias("j")
+    merged = both.where("one = 1").select(*group, "at", "j", F.lit(0).alias("step")).unionByName(
+        slots.where("held").select(*group, "at", turn, F.lit(1).alias("step"))
     )
-    schema = "archive string, ordinal bigint, unique_name string"
-
-    def settle(pdf):
-        import re
-
-        seen, out = set(), []
-        for name in pdf.sort_values("ordinal")["name"]:
-            ext = re.search(r"\.[^./]*\Z", name)
-            stem, ext = (name[: ext.start()], ext[0]) if ext else (name, "")
-            pick, n = name, 1
-            while pick.lower() in seen:
-                n += 1
-                pick = f"{stem} ({n}){ext}"
-            seen.add(pick.lower())
-            out.append(pick)
-        done = pdf.sort_values("ordinal")[["archive", "ordinal"]]
-        return done.assign(unique_name=out)
-
-    tangled = df.where("m > 0").select("archive", "family", "ordinal", "name").groupBy("archive", "family").applyInPandas(settle, schema)
-    return plain.select("archive", "ordinal", "unique_name").unionByName(tangled)
+    moved = running_total(merged, group, [F.col("j"), F.desc("step"), F.col("at")], F.col("step"), "up").where("step = 0")
+    return moved.select(*group, "at", (F.col("j") + 1 + F.col("up")).alias("n")), slots.select(*group, "n", (~F.col("held")).alias("taken"))
+
+
+def unique_members(entries: DataFrame) -> DataFrame:
+    """(archive, ordinal, unique_name): later entries whose name is taken (case-insensitively) become
+    ``stem (n).ext`` with the least n from 2 that is free in entry order.  Ordinals are unique in an archive.
+
+    A made name can be one that other entries ask for, so names are settled by the count of their made numbers: those without
+    any first, then those with one, which entries of the first kind may have taken, and so on.  Everything is a
+    grouped minimum, a join or a running total over ranges, so a name may have any share of the entries."""
+    ext = F.regexp_extract("name", r"\.[^./]*\z", 0)
+    stem = F.substr("name", F.lit(1), F.length("name") - F.length("_ext"))
+    rows = computed_here(entries.select("archive", "ordinal", "name"), _ext=ext).withColumn("_stem", stem)
+    tail = F.regexp_extract(F.lower("_stem"), rf"({_MADE}*)\z", 1)
+    rows = rows.withColumns({"low": F.lower("name"), "_tail": tail})
+    bare = F.regexp_replace(F.lower("_stem"), rf"{_MADE}\z", "")
+    rows = pinned(rows.withColumns({
+        "level": F.regexp_count("_tail", F.lit(r"\(")),
+        "parent": F.when(F.col("_tail") != "", F.concat(bare, F.lower("_ext"))),
+        "number": F.regexp_extract("_tail", r"([0-9]+)\)\z", 1).try_cast("bigint"),
+    }).drop("_tail"))
+    deepest = rows.agg(F.max("level")).first()[0]
+    done, taken = [], None
+    for level in range(0 if deepest is None else deepest + 1):
+        own = rows.where(F.col("level") == level)
+        first = own.groupBy("archive", "low").agg(F.min("ordinal").alias("first"), F.min("parent").alias("key"), F.min("number").alias("n"))
+        if taken is not None:
+            first = first.join(taken, ["archive", "key", "n"], "left").withColumn(
+                "first", F.when(F.coalesce("taken", F.lit(False)), F.lit(None)).otherwise(F.col("first"))
+            )
+        own = pinned(own.join(first.select("archive", "low", "first"), ["archive", "low"]).withColumn("keeps", F.coalesce(F.col("ordinal") == F.col("first"), F.lit(False))))
+        done.append(own.where("keeps").select("archive", "ordinal", F.col("name").alias("unique_name")))
+        over = own.where("NOT keeps").select("archive", F.col("low").alias("key"), F.col("ordinal").alias("at"))
+        below = rows.where(F.col("level") == level + 1).groupBy("archive", F.col("parent").alias("key"), F.col("number").alias("n")).agg(F.min("ordinal").alias("at"))
+        wanted = pinned(below.join(over.select("archive", "key").distinct(), ["archive", "key"], "left_semi"))
+        numbered, taken = _number_slots(over, wanted)
+        names = own.where("NOT keeps").select("archive", "ordinal", "_stem", "_ext").join(
+            numbered.select("archive", F.col("at").alias("ordinal"), "n"), ["archive", "ordinal"]
+        )
+        done.append(names.select("archive", "ordinal", F.concat("_stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")"), "_ext").alias("unique_name")))
+    out = entries.sparkSession.createDataFrame([], f"archive {rows.schema['archive'].dataType.simpleString()}, ordinal {rows.schema['ordinal'].dataType.simpleString()}, unique_name string")
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 # --- multipart sets ---------------------------------------------------------------------------------
