@@ -205,21 +205,42 @@ def log_stream(spark, sf):
     return spark.sql(V.LOG_BODY, events=table_stream(spark, sf, "events"))
 
 
+# Every tenth line is broken.
+_GOOD = f"SELECT * FROM ({V.LOG_SQL}) WHERE line % 10 <> 3"
+
+
 @query(
     "stream_job_state",
-    f"SELECT job_id, arg_max(stage, (time, line)) AS stage, max(bytes_read) AS bytes_read, max(bytes_written) AS bytes_written, count(*) AS events, count_if(stage = 'error') AS errors FROM ({V.LOG_SQL}) GROUP BY 1",
+    f"SELECT job_id, arg_max(stage, (time, line)) AS stage, max(bytes_read) AS bytes_read, max(bytes_written) AS bytes_written, count(*) AS events, count_if(stage = 'error') AS errors FROM ({_GOOD}) GROUP BY 1 "
+    f"UNION ALL SELECT '', NULL, NULL, NULL, count(*), 0 FROM ({V.LOG_SQL}) WHERE line % 10 = 3",
 )
 def stream_job_state(spark, sf):
+    """A JSONL log that is written in two rounds: broken lines go to a folder of their own, and the second round appends the last
+    lines of the first once more."""
     folder = scratch(spark)
+    fields = F.to_json(F.struct("job_id", "line", "time", "stage", "bytes_read", "bytes_written"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    text = F.when(F.col("line") % 10 == 3, F.concat(F.lit('{"job_id": '), "job_id")).otherwise(fields)
+    log = V.log(spark, sf)
+    early, late = log.agg(F.percentile_approx("time", F.array(F.lit(0.4), F.lit(0.5)))).first()[0]
+    again = (F.col("time") >= F.lit(early)) & (F.col("time") < F.lit(late)) & (F.col("line") % 10 != 3)
+    schema = "job_id string, line bigint, time timestamp, stage string, bytes_read bigint, bytes_written bigint"
 
     def put(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/state")
 
-    finished(
-        live.job_state(log_stream(spark, sf)).writeStream.outputMode("complete").foreachBatch(put)
-        .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    )
-    return spark.read.parquet(f"{folder}/state")
+    for part in (log.where(F.col("time") < F.lit(late)), log.where((F.col("time") >= F.lit(late)) | again)):
+        part.select(text.alias("value")).write.mode("append").text(f"{folder}/log")
+        events = G.stream_events(spark, f"{folder}/log", schema)
+        finished(G.start_unreadable(events, f"{folder}/unreadable", f"{folder}/cp-unreadable"))
+        finished(
+            live.job_state(G.readable(events, "10 days")).writeStream.outputMode("complete").foreachBatch(put)
+            .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+        )
+    bad = spark.read.text(f"{folder}/unreadable").agg(F.count("*").alias("events"))
+    return spark.read.parquet(f"{folder}/state").unionByName(bad.select(
+        F.lit("").alias("job_id"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("bigint").alias("bytes_read"),
+        F.lit(None).cast("bigint").alias("bytes_written"), "events", F.lit(0).cast("bigint").alias("errors"),
+    ))
 
 
 @contextmanager

@@ -29,5 +29,31 @@ def read_events(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
+UNREADABLE = "_unreadable"
+
+
 def stream_events(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA) -> DataFrame:
-    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder)
+    """The log as it grows.  A line that does not parse has its text in ``_unreadable`` and NULL elsewhere."""
+    return (
+        spark.readStream.schema(f"{schema}, {UNREADABLE} string").option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", UNREADABLE).json(folder)
+    )
+
+
+def readable(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """The events of a stream, each once: a line that a writer appends again (same job and line number) within ``late`` is
+    dropped, and so is an event that comes later than that."""
+    return (
+        events.where(F.col(UNREADABLE).isNull()).drop(UNREADABLE).withWatermark("time", late)
+        .dropDuplicatesWithinWatermark(["job_id", "line"])
+    )
+
+
+def start_unreadable(events: DataFrame, folder: str, checkpoint: str):
+    """Writes the text of the lines that did not parse to a folder of their own, and stops when all that is there is read."""
+    # The JSON source does not read its corrupt-record column alone.
+    bad = events.where(F.col(UNREADABLE).isNotNull()).select(F.concat(UNREADABLE, F.coalesce("job_id", F.lit(""))).alias("value"))
+    return (
+        bad.writeStream.outputMode("append").format("text").option("path", folder).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
