@@ -364,3 +364,41 @@ def dryrun_report(spark, sf):
         }
     ).withColumn("predicted_outputs", F.array("destination"))
     return P.dry_run_blocks(p).select("position", F.col("name").alias("source"), "block")
+
+
+# --- nested archives --------------------------------------------------------------------------------
+# Five archives; entry k lies in an archive with a smaller number, and some archives hold one archive alone.
+_NESTED = """
+SELECT archive, k AS node, parent, CASE WHEN parent IS NULL AND a % 2 = 0 THEN 'root/' ELSE '' END || CASE k % 3 WHEN 1 THEN 'd/' WHEN 2 THEN 'd/e.f/' ELSE '' END
+    || CASE WHEN k % 41 = 7 THEN '../../../' ELSE '' END || 'n' || CAST(k AS VARCHAR(20)) || ' ' || lang || CASE WHEN k % 37 = 3 THEN '/' WHEN k % 4 < 2 THEN CASE k % 5 WHEN 0 THEN '.cbz' WHEN 1 THEN '.RAR' ELSE '.zip' END
+    WHEN k % 31 = 2 THEN '.7z' ELSE '.jpg' END AS name, k % 37 = 3 AS is_dir
+FROM (SELECT 'a' || CAST(doc_id % 5 AS VARCHAR(3)) AS archive, doc_id % 5 AS a, coalesce(lang, '') AS lang, CAST(floor(doc_id / 5) AS BIGINT) AS k,
+        CASE WHEN floor(doc_id / 5) % 4 = 1 THEN CAST(floor(doc_id / 5) AS BIGINT) - 1 WHEN doc_id < 20 THEN NULL
+             WHEN floor(doc_id / 5) % 29 = 28 THEN 3
+             ELSE 4 * CAST(floor(floor(doc_id / 5) / 16) AS BIGINT) + CAST(floor(floor(doc_id / 5) / 4) AS BIGINT) % 2 END AS parent
+      FROM {documents}) d"""
+_CLEANED = S.stage(f"SELECT *, CASE WHEN contains(name, '../../../') THEN true ELSE false END AS unsafe FROM ({_NESTED.format(documents='documents')})", clean="regexp_replace(name, '/$', '')")
+_LEAF = "regexp_full_match(lower(logical), '.*\\.(zip|cbz|rar|cbr)')"
+
+
+@query(
+    "nested_outputs",
+    f"""WITH RECURSIVE e0 AS MATERIALIZED ({_CLEANED}),
+r AS (SELECT archive, CASE WHEN bool_and(contains(clean, '/')) AND min(split_part(clean, '/', 1)) = max(split_part(clean, '/', 1)) THEN min(split_part(clean, '/', 1)) ELSE '' END AS root
+  FROM e0 WHERE parent IS NULL AND NOT is_dir GROUP BY 1),
+h AS (SELECT archive, parent, count(*) = 1 AND bool_and(regexp_full_match(lower(name), '.*\\.(zip|cbz|rar|cbr|7z)')) AS single FROM e0 WHERE NOT is_dir GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT e0.*, CASE WHEN e0.parent IS NULL AND root <> '' THEN substr(clean, length(root) + 2) ELSE clean END AS logical, coalesce(single, false) AS single
+  FROM e0 LEFT JOIN r ON r.archive = e0.archive LEFT JOIN h ON h.archive = e0.archive AND h.parent IS NOT DISTINCT FROM e0.parent WHERE NOT is_dir),
+s AS MATERIALIZED (SELECT archive, node, parent, unsafe, CASE WHEN contains(logical, '/') THEN regexp_replace(logical, '/[^/]*$', '') END AS dir,
+  CASE WHEN NOT single THEN regexp_replace(regexp_extract(logical, '[^/]*$'), '\\.[^.]*$', '') END AS stem FROM e WHERE {_LEAF}),
+c(archive, node, prefix, level, unsafe) AS (SELECT archive, node, concat_ws('/', dir, stem), 1, unsafe FROM s WHERE parent IS NULL
+  UNION ALL SELECT s.archive, s.node, concat_ws('/', nullif(c.prefix, ''), s.dir, s.stem), c.level + 1, s.unsafe OR c.unsafe FROM s JOIN c ON c.archive = s.archive AND c.node = s.parent),
+o AS (SELECT e.archive, e.node, e.parent, logical, prefix, level, CASE WHEN e.parent IS NOT NULL AND level IS NULL THEN 'unknown container' WHEN level > 8 THEN 'too deep'
+  WHEN e.unsafe OR c.unsafe THEN 'unsafe path' WHEN ends_with(logical, '.7z') THEN 'unsupported archive' END AS error
+  FROM e LEFT JOIN c ON c.archive = e.archive AND c.node = e.parent WHERE NOT {_LEAF})
+SELECT archive, node, CASE WHEN parent IS NULL THEN 0 WHEN level <= 16 THEN level END AS level, CASE WHEN error IS NULL THEN concat_ws('/', nullif(prefix, ''), logical) END AS path, error FROM o""",
+)
+def nested_outputs(spark, sf):
+    from shelfmark.operators import nested
+
+    return nested.nested_outputs(spark.sql(_NESTED, documents=V.table(spark, sf, "documents").select("doc_id", "lang")))
