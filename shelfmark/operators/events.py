@@ -181,16 +181,27 @@ def support_bundle(events: DataFrame, logs: DataFrame) -> DataFrame:
     return events.join(F.broadcast(newest), "job_id", "left_semi")  # ten rows
 
 
-def redacted(fields: Column) -> Column:
-    """map<string,variant>: secrets go, paths keep their last part, other values stay as typed."""
+def redacted(fields: Column, depth: int = 1) -> Column:
+    """map<string,variant>: secrets go, paths keep their last part, other values stay as typed.  Objects inside are treated
+    alike down to ``depth`` levels."""
 
     def one(k, v):
         low = F.lower(k)
         secret = low.contains("password") | low.contains("secret") | low.contains("token")
         is_text = F.schema_of_variant(v) == "STRING"
         short = F.when(is_text, basename(F.try_variant_get(v, "$", "string"))).otherwise("[REDACTED_PATH]")
+        kept = v
+        if depth > 1:
+            inner = F.parse_json(F.to_json(redacted(F.from_json(F.to_json(v), "map<string,variant>"), depth - 1)))
+            kept = F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), inner).otherwise(v)
         return (
-            F.when(secret, F.lit("[REDACTED]").cast("variant")).when(low.contains("path"), short.cast("variant")).otherwise(v)
+            F.when(secret, F.lit("[REDACTED]").cast("variant")).when(low.contains("path"), short.cast("variant")).otherwise(kept)
         )
 
     return F.transform_values(fields, one)
+
+
+def field_types(events: DataFrame) -> DataFrame:
+    """(field, events, type): the keys that log writers use and the type that holds all their values."""
+    rows = events.select(F.explode("fields").alias("field", "value"))
+    return rows.groupBy("field").agg(F.count("*").alias("events"), F.schema_of_variant_agg("value").alias("type"))

@@ -29,6 +29,16 @@ def read_events(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
+def log_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(job_id, path, size_bytes, updated_at) of the ``.jsonl`` files below a folder, by their metadata: no line is read."""
+    from shelfmark.sources.listing import listed, walk
+
+    files = listed(walk(spark, [folder])).where(F.col("name").endswith(".jsonl"))
+    return files.select(
+        F.regexp_replace("name", r"\.jsonl\z", "").alias("job_id"), "path", F.col("size").alias("size_bytes"), F.col("modified").alias("updated_at")
+    )
+
+
 UNREADABLE = "_unreadable"
 
 
