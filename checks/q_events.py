@@ -154,6 +154,25 @@ def support_bundle_rows(spark, sf):
     return E.support_bundle(log, E.log_info(log)).select("job_id", "line", "stage")
 
 
+_BUNDLE = "(SELECT job_id FROM ({info}) ORDER BY updated_at DESC, job_id LIMIT 10)".format(info=_INFO)
+
+
+def _bundle_sql(label, which):
+    return (
+        f"SELECT '{label}' AS bundle, (SELECT count(*) FROM ({_INFO}) WHERE job_id IN {which}) AS jobs, (SELECT sum(size_bytes)::BIGINT FROM ({_INFO}) WHERE job_id IN {which}) AS size_bytes, "
+        f"count(*) AS lines, count_if(stage = 'error') AS errors, min(time) AS first, max(time) AS last, (SELECT count(*) FROM ({_INFO})) AS all_jobs, (SELECT sum(size_bytes)::BIGINT FROM ({_INFO})) AS all_bytes "
+        f"FROM ({V.LOG_SQL}) WHERE job_id IN {which}"
+    )
+
+
+@query("support_bundle_meta", _bundle_sql("newest", _BUNDLE) + " UNION ALL " + _bundle_sql("one", "('job-7')"))
+def support_bundle_meta(spark, sf):
+    log = V.log(spark, sf)
+    logs = E.log_info(log)
+    newest = E.bundle_metadata(log, logs).withColumn("bundle", F.lit("newest"))
+    return newest.unionByName(E.bundle_metadata(log, logs, "job-7").withColumn("bundle", F.lit("one")))
+
+
 _FIELDS = "map('source_path', '/in/' || job_id || '/' || stage || '.zip', 'api_token', job_id, 'stage', stage)"
 
 

@@ -348,6 +348,16 @@ def resolved_series(spark, sf):
     return I.resolved_series(p, known).select("source", "series", "evidence")
 
 
+def dryrun_plans(spark, sf):
+    return plans(spark, sf).withColumns(
+        {
+            "name": F.col("source"), "action": F.lit("rename-zip"), "evidence": F.array().cast("array<string>"),
+            "destination": F.concat(F.lit("/out/"), "series", F.lit("/x.zip")), "preview_error": F.lit(None).cast("string"),
+            "nested": F.lit(False), "warning": F.lit(""), "confidence": F.round("confidence", 6),
+        }
+    ).withColumn("predicted_outputs", F.array("destination"))
+
+
 @query(
     "dryrun_report",
     f"SELECT position, source, '[' || lpad(position::VARCHAR, CAST(greatest(4, length(position::VARCHAR)) AS INTEGER), '0') || '] ' || source || chr(10) || '  source: ' || source || chr(10) || '  series: ' || series || chr(10) || '  volume: ' || coalesce(volume::VARCHAR, '-') || chr(10) || "
@@ -356,16 +366,30 @@ def resolved_series(spark, sf):
     f"FROM (SELECT *, row_number() OVER (ORDER BY source) AS position FROM ({_PL}))",
 )
 def dryrun_report(spark, sf):
-    p = plans(spark, sf).withColumns(
-        {
-            "name": F.col("source"), "action": F.lit("rename-zip"), "evidence": F.array().cast("array<string>"),
-            "destination": F.concat(F.lit("/out/"), "series", F.lit("/x.zip")), "preview_error": F.lit(None).cast("string"),
-            "nested": F.lit(False), "warning": F.lit(""), "confidence": F.round("confidence", 6),
-        }
-    ).withColumn("predicted_outputs", F.array("destination"))
+    p = dryrun_plans(spark, sf)
     return P.dry_run_blocks(p).select("position", F.col("name").alias("source"), "block")
 
 
+@query("dryrun_file", "SELECT block FROM (" + SQL["dryrun_report"] + ")")
+def dryrun_file(spark, sf):
+    """The report as text, blocks with an empty line between, read back."""
+    from checks.q_events import scratch
+
+    folder = scratch(spark)
+    P.write_dry_run(dryrun_plans(spark, sf), folder)
+    return spark.read.option("lineSep", "\n\n").text(folder).withColumnRenamed("value", "block")
+
+
+@query(
+    "plan_action",
+    f"SELECT archive, ext, CASE WHEN ext <> '.rar' THEN 'rename-zip' WHEN single_nested_zip THEN 'unwrap-nested-zip' ELSE 'rar-to-zip' END AS action FROM ({_facts(BOXES)}), (VALUES ('.zip'), ('.rar'), ('.cbz')) AS t(ext)",
+)
+def plan_action(spark, sf):
+    """What happens to each box, were it a file of each kind."""
+    facts = M.archive_facts(boxes(spark, sf)).select("archive", "single_nested_zip", F.explode(F.array(F.lit(".zip"), F.lit(".rar"), F.lit(".cbz"))).alias("ext"))
+    return facts.select("archive", "ext", I.plan_action(F.concat("archive", "ext"), F.col("single_nested_zip")).alias("action"))
+
+
 # --- nested archives --------------------------------------------------------------------------------
 # Five archives; entry k lies in an archive with a smaller number, and some archives hold one archive alone.
 _NESTED = """

@@ -133,6 +133,14 @@ def layout_export(spark, sf):
     return lines.join(P.layout_counts(lines), ["root", "tag"]).select("root", "line", "tag_lines")
 
 
+@query("layout_file", f"SELECT 'D' || chr(9) || folder || '/' AS line FROM ({_FOLDERS.format(src=V.LIBRARY_SQL)}) UNION ALL SELECT 'F' || chr(9) || rel FROM ({V.LIBRARY_SQL})")
+def layout_file(spark, sf):
+    """The export as text files, read back."""
+    folder = scratch(spark)
+    P.write_layout(lib(spark, sf), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
 # --- aliases -------------------------------------------------------------------------------
 _ALIAS_SRC = "SELECT DISTINCT p_name || ' story' AS alias, upper(p_name) || ' STORY / 2:' AS canonical, min(p_partkey) OVER (PARTITION BY p_name) % 8 AS pick FROM {part}"
 
@@ -290,7 +298,7 @@ def destination_conflicts(spark, sf):
 
 @query("vacated_conflicts", X.upto("named", "SELECT source, destination FROM u2 WHERE freed", _PLAIN))
 def vacated_conflicts(spark, sf):
-    return plain_conflicts(spark, sf).where("reason LIKE 'destination will be vacated%'").select("source", "destination")
+    return plain_conflicts(spark, sf).where("reason = 'the file in its place is going'").select("source", "destination")
 
 
 @query(
@@ -342,6 +350,22 @@ def report_page_read(spark, sf):
     return P.read_page(spark, folder, offset=150, limit=300).select("position", "source")
 
 
+@query(
+    "report_meta",
+    X.upto(
+        "fin",
+        "SELECT count(*) AS items_total, CAST(ceil(count(*) / 200) AS BIGINT) AS items_pages, count(DISTINCT review_group) AS choices_total, CAST(ceil(count(DISTINCT review_group) / 200) AS BIGINT) AS choices_pages, "
+        "count_if(action = 'keep') AS keep, count_if(action = 'duplicate') AS duplicates, count_if(action = 'review') AS review, count(*) AS read_back FROM fin",
+    ),
+)
+def report_meta(spark, sf):
+    """The report written with its row of totals, which a reader meets before any page."""
+    folder, r = scratch(spark), report(spark, sf)
+    P.write_report(r.items.select("source", "series", "volume"), r.choices, r.summary, R.report_order(), folder)
+    meta = spark.read.json(f"{folder}/meta").select("items_total", "items_pages", "choices_total", "choices_pages", "keep", "duplicates", "review")
+    return meta.withColumn("read_back", F.lit(spark.read.parquet(f"{folder}/items").count()))
+
+
 # --- manifest ----------------------------------------------------------------------------------------
 _SELECTED = "SELECT review_group AS choice, min(source) AS selected FROM fin WHERE review_group IS NOT NULL GROUP BY 1"
 

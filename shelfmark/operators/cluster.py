@@ -8,7 +8,7 @@ from shelfmark.functions import naming as N
 from shelfmark.functions.text import computed_here, has_japanese, has_latin
 from shelfmark.operators import pairs as P
 from shelfmark.operators.components import components
-from shelfmark.operators.ordered import running_total
+from shelfmark.operators.ordered import row_numbers, running_total
 from shelfmark.operators.stable import pinned
 
 
@@ -247,19 +247,8 @@ def _canonical(members: DataFrame, bilingual: DataFrame, aliases: DataFrame | No
     ordered = marked.join(state.where("any_linked").select("cluster"), "cluster", "left_semi")
     # Between two linked names only the best unlinked one can matter: reduce each such run.
     runs = running_total(ordered, ["cluster"], [F.col("ord")], F.col("linked").cast("int"), "run")
-    reduced = (
-        runs.groupBy("cluster", "run", "linked")
-        .agg(F.min_by(F.struct("ord", "p"), F.struct("r", "ord")).alias("c"))
-        .groupBy("cluster").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    )
-    folded = reduced.select(
-        "cluster",
-        F.aggregate(
-            F.slice(F.col("cs"), F.lit(2), F.size("cs")), F.col("cs")[0]["p"],
-            lambda best, c: F.when(N.is_better_display(c["p"], best), c["p"]).otherwise(best),
-        )["name"].alias("pick"),
-    )
-    picked = plain.unionByName(folded)
+    reduced = runs.groupBy("cluster", "run", "linked").agg(F.min_by(F.struct("ord", "p"), F.struct("r", "ord")).alias("c"))
+    picked = plain.unionByName(display_fold(reduced.select("cluster", "c.ord", "c.p")))
     if aliases is not None:
         hits = members.join(aliases, "key").where(N.series_usable(F.col("canonical"))).groupBy("cluster").agg(
             F.min_by("canonical", "ord").alias("saved")
@@ -269,6 +258,30 @@ def _canonical(members: DataFrame, bilingual: DataFrame, aliases: DataFrame | No
     return picked.join(ranks, "cluster").select("cluster", N.with_rating(F.col("pick"), F.col("rank")).alias("canonical"))
 
 
+FOLD_SLICE = 256
+
+
+def display_fold(rows: DataFrame) -> DataFrame:
+    """(cluster, pick): the name that stays when the names of a cluster (cluster, ord, p) are compared one after the other.
+
+    The comparison is not transitive, so the order matters and no aggregate will do.  The names of a cluster are numbered
+    over ranges and folded in slices of ``FOLD_SLICE``, each of which starts with what the slice before left: a row holds one slice,
+    and all clusters take their k-th slice in one round."""
+    if rows.isEmpty():
+        return rows.select("cluster", F.col("p.name").alias("pick"))
+    numbered = row_numbers(rows, ["cluster"], [F.col("ord")], "_n").withColumn("_slice", F.floor((F.col("_n") - 1) / FOLD_SLICE))
+    slices = pinned(numbered.groupBy("cluster", "_slice").agg(F.array_sort(F.collect_list(F.struct("_n", "p"))).alias("cs")))
+    better = lambda best, c: F.when(N.is_better_display(c["p"], best), c["p"]).otherwise(best)
+    first = slices.where("_slice = 0")
+    state = pinned(first.select("cluster", F.aggregate(F.slice("cs", F.lit(2), F.size("cs")), F.col("cs")[0]["p"], better).alias("best")))
+    for k in range(1, slices.agg(F.max("_slice")).first()[0] + 1):
+        more = slices.where(F.col("_slice") == k).select("cluster", "cs")
+        state = pinned(state.join(more, "cluster", "left").select(
+            "cluster", F.when(F.col("cs").isNull(), F.col("best")).otherwise(F.aggregate("cs", F.col("best"), better)).alias("best")
+        ))
+    return state.select("cluster", F.col("best.name").alias("pick"))
+
+
 def cluster_names(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(series, cluster, canonical, reason, score, files): the verdict for every spelling.
 

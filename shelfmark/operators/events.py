@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import fixed_values as fv
 from shelfmark.functions.text import basename
-from shelfmark.operators.ordered import running_total, with_previous
+from shelfmark.operators.ordered import one_row, running_total, with_previous
 
 RENAME_ONLY = "rename-zip"
 
@@ -176,9 +176,24 @@ def retention_expired(logs: DataFrame, now: Column, days: int = fv.RETENTION_DAY
     return logs.where(F.col("updated_at") < now - F.make_dt_interval(F.lit(days)))
 
 
-def support_bundle(events: DataFrame, logs: DataFrame) -> DataFrame:
-    newest = latest_logs(logs).select("job_id")
-    return events.join(F.broadcast(newest), "job_id", "left_semi")  # ten rows
+def bundled_logs(logs: DataFrame, job_id: str | None = None) -> DataFrame:
+    """The logs of a support bundle: that of one job, or the ten newest."""
+    return latest_logs(logs) if job_id is None else logs.where(F.col("job_id") == job_id)
+
+
+def support_bundle(events: DataFrame, logs: DataFrame, job_id: str | None = None) -> DataFrame:
+    chosen = bundled_logs(logs, job_id).select("job_id")
+    return events.join(F.broadcast(chosen), "job_id", "left_semi")  # ten rows
+
+
+def bundle_metadata(events: DataFrame, logs: DataFrame, job_id: str | None = None) -> DataFrame:
+    """One row about a bundle: its jobs, lines, bytes, errors and span of time, beside what the whole log has."""
+    held = bundled_logs(logs, job_id).agg(F.count("*").alias("jobs"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"))
+    rows = support_bundle(events, logs, job_id).agg(
+        F.count("*").alias("lines"), F.count_if(F.col("stage") == "error").alias("errors"), F.min("time").alias("first"), F.max("time").alias("last")
+    )
+    whole = logs.agg(F.count("*").alias("all_jobs"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("all_bytes"))
+    return one_row(held, rows, whole)
 
 
 def redacted(fields: Column, depth: int = 1) -> Column:

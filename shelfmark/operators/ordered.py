@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from shelfmark.operators.stable import pinned
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of several one-row tables side by side."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def _sliced(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
     """Range partitioned rows with their slice number stored, so that every reader sees the
     same slices."""

@@ -92,7 +92,7 @@ def test_reconcile_verdicts(spark):
     assert {r.action for s, r in got.items() if "丙" in s} == {"move"}
     assert {r.edition for s, r in got.items() if "丙" in s} == {"standard", "full-color", "semi-color"}
     assert got["/a/丁の物語/丁の物語 第04巻.zip"].action == "duplicate"
-    assert got["/b/丁の物語 第04巻.zip"].reason == "destination will be vacated by older/duplicate copy before restore"
+    assert got["/b/丁の物語 第04巻.zip"].reason == "the file in its place is going"
     assert {got[f"/a/{n}の物語 第05巻.zip"].action for n in "戊己"} == {"move"}
     assert got["/a/01.zip"].action == "error"
 
