@@ -6,12 +6,17 @@ Small transducers read the symbols of a clause: ``negation`` marks what follows
 ``threat`` a threat verb with a target within four words on either side.  Their composition is one table of states, so a
 clause is read in one pass; each insult adds its weight to the path it was read on (plain, targeted, negated,
 reported), where a target that comes later in the clause still makes a plain insult a targeted one.  Each threat verb
-counts once, when its target is there, on the path that the verb was read on (threat, negated or reported threat).  A logistic regression over the path sums and their density gives the score, so
-the labels decide how much a negated or reported insult still counts.
-
-The insult lexicon is learned: words and word beginnings whose log odds of standing in toxic documents are
-high beyond doubt.  Document frequencies are grouped aggregates over at most ``sample`` labelled documents of each class
-(a documented bound, chosen by a hash of doc_id); at most ``entries`` candidates reach the driver.
+counts once, when its target is there, on the path that the verb was read on (threat, negated or reported threat).  A logistic
+regression over the path sums and the density of plain and targeted insults and of threats gives the score.  Labels of whole documents say little
+of what was negated, reported or threatened in one clause, so the weights of those paths are held near stated values (``TOWARD``,
+``HOLD``), which they keep where the labelled documents never show them.
+
+The insult lexicon is learned: words, and word beginnings of four letters and more, that stand in toxic documents far more often than
+in others.  A form enters by its evidence alone: its log odds are at least ``LEAST_ODDS`` and so many documents of it are
+toxic that among all forms not one in a hundred samples would be so by chance (a Chernoff bound).  A beginning must meet
+this without the documents of the most frequent word that has it, so a frequent insult does not make its
+neighbours in the dictionary insults.  Document frequencies are grouped aggregates over at most ``sample`` labelled documents of each
+class (a documented bound, chosen by a hash of doc_id); only the forms that enter reach the driver.
 
 Defined cases: NULL and empty texts have no clause and get the score of a text without any match.  Repeated
 label rows of a document count once, as toxic if any says so.  Without labels of both classes the score is the share of
@@ -53,12 +58,16 @@ THREAT_VERB = re.compile("|".join([
 ]))
 #: English words that look like a form of matar.
 NO_THREAT = {"mate", "mates", "maten"}
-BEGINNINGS = range(3, 9)
+BEGINNINGS = range(4, 9)
 #: Log odds from which a form is an insult: fifty times as usual in toxic documents.
 LEAST_ODDS = 4.0
 CACHE = 300_000
 PATHS = ("plain", "targeted", "negated", "reported", "threat", "negated threat", "reported threat")
 MEASURES = len(PATHS) + 1
+#: Weights that the regression starts from, and how firmly it is held there; the last is the density.
+TOWARD = np.array([0.0, 0.5, 0.2, 0.2, 8.0, 0.2, 0.2, 0.0])
+HOLD = np.array([1.0, 1.0, 200.0, 200.0, 50.0, 200.0, 200.0, 1.0])
+DENSE = (0, 1, 4)
 
 
 def forms_of(word: str) -> list[str]:
@@ -158,7 +167,7 @@ class Reader(dict):
         return got
 
     def paths(self, text: str | None) -> list[float]:
-        """log(1 + sum) of each path over all clauses, and of all paths for a hundred words."""
+        """log(1 + sum) of each path over all clauses, and of the unmarked paths for a hundred words."""
         total = dict.fromkeys(PATHS, 0.0)
         read = list(map(self.__getitem__, TOKEN.findall(text.lower()))) if text else []
         hot = [i for i, (s, _) in enumerate(read) if s in (INSULT, THREAT)]
@@ -174,24 +183,47 @@ class Reader(dict):
                 done += 1
             for path, x in clause_paths(*map(list, zip(*read[first:done]))).items():
                 total[path] += x
-        return [math.log1p(x) for x in (*total.values(), 100 * sum(total.values()) / max(1, len(read)))]
-
+        dense = sum(total[PATHS[k]] for k in DENSE)
+        return [math.log1p(x) for x in (*total.values(), 100 * dense / max(1, len(read)))]
 
-def _counts(lexicon: set[str] | None):
-    """Document frequencies of all forms, or of those in ``lexicon``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n: Counter = Counter()
-            for text in b["text"].to_pylist():
-                forms = {f for w in set(TOKEN.findall((text or "").lower())) for f in forms_of(w)}
-                n.update(forms if lexicon is None else forms & lexicon)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["form", "n"])
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Toxic and other documents of each form."""
+    for b in batches:
+        n: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, y in zip(b["text"].to_pylist(), b["y"].to_pylist()):
+            n[y].update({f for w in set(TOKEN.findall((text or "").lower())) for f in forms_of(w)})
+        forms = list(n[0].keys() | n[1].keys())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(forms, pa.string()), pa.array([n[1][f] for f in forms], pa.int64()), pa.array([n[0][f] for f in forms], pa.int64())
+        ], ["form", "toxic", "other"])
 
-    return run
 
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, entries: int = 50_000) -> Model:
+def lexicon_of(train: DataFrame) -> dict[str, float]:
+    """Insults and their log odds from ``train`` (text, y)."""
+    sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
+    if not toxic or not other:
+        return {}
+    counted = train.select("text", F.col("y").cast("int").alias("y")).mapInArrow(_counts, "form string, toxic long, other long")
+    counts = written(counted.groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxicity-forms")
+    words = counts.where("toxic > 0 AND NOT endswith(form, '*')")
+    # The word that most toxic documents have of those with one beginning.
+    begins = F.transform(F.sequence(F.lit(BEGINNINGS[0]), F.lit(BEGINNINGS[-1])), lambda k: F.when(F.length("form") > k, F.concat(F.left("form", k), F.lit("*"))))
+    top = words.select(F.explode(F.array_compact(begins)).alias("form"), F.struct("toxic", "other").alias("w")).groupBy("form").agg(F.max("w").alias("w"))
+    rest = lambda c: F.col(c) - F.coalesce(F.col(f"w.{c}"), F.lit(0))
+    forms = counts.where("toxic > 0").join(top, "form", "left").withColumns({"p": rest("toxic"), "n": rest("other")})
+    chance = toxic / (toxic + other)
+    size = F.col("p") + F.col("n")
+    part = lambda c, q: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / size / q)).otherwise(0.0)
+    odds = F.ln((F.col("p") + 0.5) / (toxic + 1)) - F.ln((F.col("n") + 0.5) / (other + 1))
+    surest = part("p", chance) + part("n", 1 - chance)  # minus log of the bound for one form
+    known = max(1, counts.count())
+    found = forms.where("p > 0").where((odds >= LEAST_ODDS) & (surest >= math.log(100 * known))).select("form", F.least(odds, F.lit(6.0)).alias("odds"))
+    return {r["form"]: r["odds"] for r in found.collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     """Learn from the documents whose fold isn't 0 and that ``labels`` (doc_id, toxic) names."""
     small_batches(docs.sparkSession)
     known = labels.where((fold_of("doc_id") != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -202,21 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, entries: int = 5
     # About 2 * sample rows whatever the input, so they may be broadcast.
     chosen = F.broadcast(known.where("y IN (0, 1)").where(share_of(F.col("doc_id")) < quota))
     train = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y"), "toxicity-sample")
-    sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pos_n, neg_n = sizes.get(1, 0), sizes.get(0, 0)
-    counted = lambda df, forms: df.select("text").mapInArrow(_counts(forms), "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
-    found = counted(train.where("y = 1"), None).where(F.col("n") >= max(5, pos_n // 1000)).orderBy(F.desc("n"), "form").limit(entries)
-    pos = {r["form"]: r["n"] for r in found.collect()}
-    neg = {r["form"]: r["n"] for r in counted(train.where("y = 0"), set(pos)).collect()}
-    lexicon = {}
-    for form, p in pos.items():
-        n = neg.get(form, 0)
-        odds = math.log((p + 0.5) / (pos_n + 1)) - math.log((n + 0.5) / (neg_n + 1))
-        if odds > LEAST_ODDS and odds - 2.5 * math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)) > 1:
-            lexicon[form] = min(odds, 6.0)
+    lexicon = lexicon_of(train)
     rows = np.array([[*r["x"], r["y"]] for r in _paths(train, lexicon).collect()]).reshape(-1, MEASURES + 1)
     prior = counts[1] / (counts[0] + counts[1])
-    return Model(lexicon, logistic.fit(rows[:, :-1], rows[:, -1], prior), prior)
+    return Model(lexicon, logistic.fit(rows[:, :-1], rows[:, -1], prior, HOLD, toward=TOWARD), prior)
 
 
 def _paths(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
