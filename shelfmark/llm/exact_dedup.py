@@ -3,13 +3,15 @@
 The key of a text is the 64-bit hash of its normalised form.  Keys that several documents share are
 indexed: the directory starts with one bucket and doubles, splitting overfull buckets by their next key
 bit, until every bucket's text fits ``bucket_bytes`` or ``DEPTH`` bits are used.  Each bucket belongs to an
-owner task, which reads its key range in key order, chains the texts of a key and compares their bytes.
-The owners' chains are written as the index files in the shared folder and joined to the documents.
-
-What is shuffled is small: keys, digests and ids of all documents, combined per task first, and the texts
-of repeated keys only, once for each batch of a task.  The keys of very large groups (more than one row in
-``HEAVY``, so fewer than HEAVY keys) are spread over ``SALTS`` owners first, each of which compares its share and
-passes one text on.  A Bloom filter of fixed size tells which texts those
+owner task, which reads its key range in key order and chains the texts of a key by their bytes: texts that collide in
+key, or in key and digest, get places of their own.  A place has the number of its documents and the least doc_id, and these are
+the classes; they are written as the index files in the shared folder and joined to the documents by key and digest (and
+by the text itself where two texts of a key share their digest).
+
+What is shuffled is small: keys and digests of all documents, counted per task first, and the texts
+of repeated keys only, once for each batch of a task with their count and least doc_id.  The keys of very large groups (more than one row in
+``HEAVY``, so fewer than HEAVY keys) are spread over ``SALTS`` owners first, each of which merges its share and
+passes one place for each text on.  A Bloom filter of fixed size tells which texts those
 may be; a false hit is a chain of one.  A bucket that is still overfull at full depth (one key, or more text than
 DEPTH bits can part) needs no more memory, because an owner holds one key's chain at a time.
 
@@ -19,7 +21,7 @@ repeat the smallest one exactly one stays.  An empty table gives no rows.  Extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -74,46 +76,72 @@ class Directory:
         return self.table[(keys.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)]
 
 
-_CHAINED = {"key": pa.int64(), "sha": pa.string(), "place": pa.int32(), "text": pa.string(), "owner": pa.int32()}
-_SCHEMA = "key long, sha string, place int, text string, owner int"
+_ENTRY = pa.schema([("key", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("n", pa.int64()), ("no_id", pa.bool_()), ("doc_id", pa.int64()), ("owner", pa.int32()), ("salt", pa.int32())])
+_ENTRY_DDL = "key long, sha string, text string, n long, no_id boolean, doc_id long, owner int, salt int"
+_PLACE = pa.schema([("key", pa.int64()), ("sha", pa.string()), ("place", pa.int32()), ("n", pa.int64()), ("no_id", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string()), ("twin", pa.bool_()), ("owner", pa.int32()), ("salt", pa.int32())])
+_PLACE_DDL = "key long, sha string, place int, n long, no_id boolean, doc_id long, text string, twin boolean, owner int, salt int"
+
+
+def _least(a: tuple[bool, int | None], b: tuple[bool, int | None]) -> tuple[bool, int | None]:
+    return min(a, b, key=lambda x: (x[0], x[1] or 0))
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in (salt, key) order -> key, sha and place in its key's chain, for every distinct text.  A salted
-    row (salt 1 and up) is a share of a heavy key, so its text goes on to the key's owner."""
+    """Entries in (salt, key) order -> the places of each key's chain: one for each distinct text, by its bytes.  The text goes with a place
+    that is a share of a heavy key (salt 1 and up), because its owner compares it again, and with ``twin`` places, whose digest
+    another text of the key has too."""
     at, chain, out = None, {}, []
+
+    def close() -> None:
+        digests: dict[str, int] = {}
+        for sha, *_ in chain.values():
+            digests[sha] = digests.get(sha, 0) + 1
+        for place, (text, (sha, n, first, owner)) in enumerate(chain.items()):
+            twin = digests[sha] > 1
+            out.append((at[1], sha, place, n, *first, text if twin or at[0] else None, twin, owner, at[0]))
+
+    def flushed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [()] * len(_PLACE), _PLACE)], schema=_PLACE)
+
     for b in batches:
-        for key, sha, text, owner, salt in zip(*(b[c].to_pylist() for c in ("key", "sha", "text", "owner", "salt"))):
+        for key, sha, text, n, no_id, doc_id, owner, salt in zip(*(b[c].to_pylist() for c in _ENTRY.names)):
             if (salt, key) != at:
+                if chain:
+                    close()
                 at, chain = (salt, key), {}
-            if sha not in chain:
-                chain[sha] = text
-                out.append((key, sha, len(chain) - 1, text if salt else None, owner))
-            elif chain[sha] != text:
-                raise ValueError(f"two texts share key {key} and digest {sha}")
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _CHAINED.values())], list(_CHAINED))
-            out = []
-
-
-def classes(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text, ...)."""
+            old = chain.get(text)
+            chain[text] = (sha, n, (no_id, doc_id), owner) if old is None else (sha, old[1] + n, _least(old[2], (no_id, doc_id)), owner)
+        if len(out) >= 1000:
+            yield flushed()
+            out.clear()
+    if chain:
+        close()
+    yield flushed()
+
+
+def classes(
+    docs: DataFrame, bucket_bytes: int = 8 << 20, key: Callable[[Column], Column] = F.xxhash64, digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256)
+) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text, ...).  ``key`` and ``digest`` are other
+    functions of the normalised text in tests only."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("doc_id", normalised().alias("text")).withColumns({"key": F.xxhash64("text"), "sha": F.sha2("text", 256)})
+    kind = docs.schema["doc_id"].dataType
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("text"))
+    texts = texts.withColumns({"key": key(F.col("text")).cast("long"), "sha": digest(F.col("text"))})
     keyed = written(texts.select(
         "doc_id", "key", "sha", F.octet_length("text").alias("bytes"), F.monotonically_increasing_id().alias("row")
     ), "dedup-keys")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    groups = written(keyed.groupBy("key", "sha").agg(
-        F.min(first).alias("keep"), F.count("*").alias("group_size"), F.max("bytes").cast("long").alias("bytes")
-    ).where("group_size > 1"), "dedup-groups")
-    n_keys = groups.count()
-    rows = groups.agg(F.sum("group_size").alias("n")).first()["n"] or 0
-    heavy = spark.sparkContext.broadcast({r["key"] for r in groups.where(F.col("group_size") > max(1000, rows // HEAVY)).select("key").collect()})
+    # Only a filter and the sizes of the buckets: which documents are equal is settled by the owners.
+    shared = written(
+        keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("bytes").cast("long").alias("bytes")).where("n > 1"), "dedup-shared"
+    )
+    n_keys = shared.count()
+    rows = shared.agg(F.sum("n").alias("n")).first()["n"] or 0
+    heavy = spark.sparkContext.broadcast({r["key"] for r in shared.where(F.col("n") > max(1000, rows // HEAVY)).select("key").collect()})
     loads = np.zeros(1 << DEPTH, np.int64)
     prefix = F.shiftrightunsigned("key", 64 - DEPTH)
-    for r in groups.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("n")).collect():
+    for r in shared.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("n")).collect():
         loads[r["p"]] = r["n"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Small tables are split further, so that all tasks own something.
@@ -127,37 +155,57 @@ def classes(docs: DataFrame, bucket_bytes: int = 8 << 20) -> DataFrame:
             pair.add(b["key"].to_numpy().view(np.uint64))
         yield from pair.slices()
 
-    suspects = spark.sparkContext.broadcast(bloom.merged(groups.select("key").mapInArrow(fill, bloom.SCHEMA), bits).once)
+    suspects = spark.sparkContext.broadcast(bloom.merged(shared.select("key").mapInArrow(fill, bloom.SCHEMA), bits).once)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = count(TaskContext.get().partitionId())
         for b in batches:
             keys = b["key"].to_numpy()
             at = np.flatnonzero(bloom.within(suspects.value, keys.view(np.uint64)))
-            seen: dict[tuple[int, str], list[int]] = {}
-            for i in at.tolist():
-                same = seen.setdefault((int(keys[i]), b["sha"][i].as_py()), [])
-                if not any(b["text"][i] == b["text"][j] for j in same):
-                    same.append(i)
-            rows = b.take(pa.array([i for x in seen.values() for i in x], pa.int64()))
-            found = rows["key"].to_numpy(zero_copy_only=False).astype(np.int64)
-            salt = [1 + next(turn) % SALTS if k in heavy.value else 0 for k in found.tolist()]
-            arrays = [*(rows[c] for c in ("key", "sha", "text")), pa.array(directory.value.bucket(found), pa.int32()), pa.array(salt, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "sha", "text", "owner", "salt"])
+            few = b.take(pa.array(at, pa.int64()))
+            found: dict[tuple[int, str], list] = {}
+            for k, sha, text, doc_id in zip(*(few[c].to_pylist() for c in ("key", "sha", "text", "doc_id"))):
+                own, first = (k, text), (doc_id is None, doc_id)
+                old = found.get(own)
+                found[own] = [sha, 1, first] if old is None else [sha, old[1] + 1, _least(old[2], first)]
+            owner = directory.value.bucket(np.array([k for k, _ in found], np.int64)).tolist()
+            salt = [1 + next(turn) % SALTS if k in heavy.value else 0 for k, _ in found]
+            out = [(k, sha, text, n, *first, o, s) for ((k, text), (sha, n, first)), o, s in zip(found.items(), owner, salt)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [()] * len(_ENTRY), _ENTRY)], schema=_ENTRY)
 
     owners = max(len(directory.value.local), tasks)
-    owned = lambda df: df.repartition(owners, "owner", "salt").sortWithinPartitions("salt", "key").mapInArrow(_chain, _SCHEMA)
-    first_index = written(
-        owned(texts.select("key", "sha", "text").mapInArrow(entries, "key long, sha string, text string, owner int, salt int")), "dedup-index"
-    )
-    shares = first_index.where("text IS NOT NULL").select("key", "sha", "text", "owner", F.lit(0).alias("salt"))
-    last_index = written(owned(shares), "dedup-index-heavy")
-    index = first_index.where("text IS NULL").unionByName(last_index).select("key", "sha", "place")
-    # Written, so that the last join reads two plain tables and a hot key of it can be split.
-    indexed = written(groups.join(index, ["key", "sha"]).select("key", "sha", "keep", "group_size"), "dedup-classes")
-    joined = keyed.join(indexed, ["key", "sha"], "left")
-    return joined.select(
-        "doc_id", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("row") == F.col("keep.row"), F.lit(True)).alias("kept"), F.col("sha").alias("text_sha256"),
+    owned = lambda df: df.repartition(owners, "owner", "salt").sortWithinPartitions("salt", "key").mapInArrow(_chain, _PLACE_DDL)
+    chains = written(owned(texts.select("key", "sha", "text", "doc_id").mapInArrow(entries, _ENTRY_DDL)), "dedup-index")
+    shares = chains.where("salt > 0").select("key", "sha", "text", "n", "no_id", "doc_id", "owner", F.lit(0).alias("salt"))
+    merged = written(owned(shares), "dedup-index-heavy")
+    index = chains.where("salt = 0").unionByName(merged)
+    # Rows that repeat id and text: the first of them is the one that may stay.
+    again = keyed.groupBy("doc_id", "key", "sha").agg(F.count("*").alias("_n"), F.min("row").alias("_first")).where("_n > 1").drop("_n")
+    again = written(again.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("sha").alias("_sha"), "_first"), "dedup-repeats")
+    twins = index.where("twin")
+    plain = written(index.where("NOT twin").select("key", "sha", "n", F.col("doc_id").alias("_keep")), "dedup-classes")
+    joined = keyed.join(plain, ["key", "sha"], "left").withColumn("place", F.lit(0))
+    if not twins.isEmpty():
+        odd = twins.select("key", "sha").distinct()
+        placed = written(texts.join(odd, ["key", "sha"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "dedup-twins").join(
+            twins.select("key", "sha", "text", "place", "n", F.col("doc_id").alias("_keep")), ["key", "sha", "text"]
+        )
+        cols = ["doc_id", "key", "sha", "row", "place", "n", "_keep"]
+        firsts = placed.groupBy("doc_id", "key", "sha", "place").agg(F.min("row").alias("_first"))
+        mine = placed.select(*cols).join(firsts.select(
+            F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("sha").alias("_sha"), F.col("place").alias("_place"), "_first"
+        ), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")) & (F.col("sha") == F.col("_sha")) & (F.col("place") == F.col("_place")), "left")
+        joined = joined.join(odd, ["key", "sha"], "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")) & (F.col("sha") == F.col("_sha"))
+    out = joined.withColumn("_first", F.lit(None).cast("long")) if again.isEmpty() else joined.join(again, same, "left")
+    needed = ["doc_id", "sha", "n", "_keep", "row", "_first"]
+    out = out.select(*needed)
+    if not twins.isEmpty():
+        out = out.unionByName(mine.select(*needed))
+    alone = F.col("n").isNull()
+    return out.select(
+        F.col("doc_id").cast(kind).alias("doc_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("_keep")).cast(kind).alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("_keep")) & F.coalesce(F.col("row") == F.col("_first"), F.lit(True)))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )

@@ -38,11 +38,30 @@ def test_directory_doubles_until_buckets_fit():
 def test_chain_compares_bytes():
     import pyarrow as pa
 
-    rows = lambda *x: [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*x)], ["key", "sha", "text", "owner", "salt"])]
-    out = list(exact_dedup._chain(rows((1, "a", "x", 0, 0), (1, "b", "y", 0, 0), (1, "a", "x", 0, 0), (2, "c", "z", 0, 0), (3, "d", "w", 0, 1))))
-    assert [tuple(r.values())[:4] for b in out for r in b.to_pylist()] == [(1, "a", 0, None), (1, "b", 1, None), (2, "c", 0, None), (3, "d", 0, "w")]
-    with pytest.raises(ValueError):
-        list(exact_dedup._chain(rows((1, "a", "x", 0, 0), (1, "a", "y", 0, 0))))
+    rows = lambda *x: [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*x), exact_dedup._ENTRY)], schema=exact_dedup._ENTRY)]
+    entry = lambda key, sha, text, n, doc_id, salt: (key, sha, text, n, doc_id is None, doc_id, 0, salt)
+    out = list(exact_dedup._chain(rows(
+        entry(1, "a", "x", 2, 7, 0), entry(1, "b", "y", 1, 3, 0), entry(1, "a", "x", 1, 5, 0), entry(1, "a", "other", 1, None, 0), entry(2, "c", "z", 1, None, 0), entry(3, "d", "w", 4, 9, 1),
+    )))
+    got = [(r["key"], r["sha"], r["place"], r["n"], r["doc_id"], r["text"], r["twin"]) for b in out for r in b.to_pylist()]
+    assert got == [
+        (1, "a", 0, 3, 5, "x", True), (1, "b", 1, 1, 3, None, False), (1, "a", 2, 1, None, "other", True), (2, "c", 0, 1, None, None, False),
+        (3, "d", 0, 4, 9, "w", False),
+    ]
+
+
+@pytest.mark.parametrize("key_bits, digest_bits", [(4, 4), (0, 0), (64, 1), (2, 256)])
+def test_classes_are_exact_where_hashes_collide(spark, key_bits, digest_bits):
+    """The owners tell texts apart by their bytes, whatever the key and the digest say."""
+    rows = [(i % 900 if i % 11 else None, f"text {i % 150}" if i % 3 else "hot  text") for i in range(1500)] + [(4, "text 7"), (4, "text 7"), (2, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << key_bits)) if key_bits < 64 else F.xxhash64(c)
+    digest = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(1 << digest_bits)).cast("string") if digest_bits < 256 else F.sha2(c, 256)
+    got = exact_dedup.classes(docs, key=key, digest=digest).collect()
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
+    size, ids = Counter(norm), {n: least([d for (d, _), m in zip(rows, norm) if m == n]) for n in set(norm)}
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((d, ids[n], size[n]) for (d, _), n in zip(rows, norm))
+    assert sum(r.kept for r in got) == len(size) and all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
 def test_heavy_keys_are_shared_out(spark):
