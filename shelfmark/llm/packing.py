@@ -33,6 +33,10 @@ from shelfmark.llm.common import small_batches, written
 from shelfmark.llm.tokens import encoder
 
 
+#: Of tokens, documents and attention cost.
+WEIGHTS = (1.0, 0.5, 0.5)
+
+
 @dataclass(frozen=True)
 class Capacity:
     tokens: int = 2048
@@ -155,9 +159,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int, keep_ids:
 
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int, capacity: Capacity = Capacity(), rule: str = "norm",
-    weights=(1.0, 1e-6, 1e-6), keep_ids: bool = False,
+    weights=WEIGHTS, keep_ids: bool = False,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece of ``docs``."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece of ``docs``.  By default what remains
+    of all three capacities selects the sequence, tokens first: beside a fit in tokens, sequences of many and of few pieces stay alike."""
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, end_id, capacity.longest(), keep_ids), "pieces")
     per_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
