@@ -182,3 +182,20 @@ def test_masks_cover_all_close_pairs():
         for _ in range(200):
             diff = sum(1 << int(k) for k in rng.choice(64, distance, replace=False))
             assert any(diff & x == 0 for x in m)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, -1])
+@pytest.mark.parametrize("most_bits", [12 * 60, 12 * 5000])
+def test_lines_by_ranges(spark, most_bits, broadcast):
+    """Filters that hold far fewer lines than there are: same rows, and hardly a line is suspected without need."""
+    rows = [(i, "\n".join([f"own {i} {k}" for k in range(40)] + [f"shared {i % 150}", "Hot line", f"pair {i // 2}"])) for i in range(300)] + [(7, None), (None, "hot LINE"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = line_dedup.deduplicated(docs, min_docs=2, keep="none", broadcast_bytes=broadcast, most_bits=most_bits)
+    got = Counter((r.doc_id, r.text or "", r._n_lines, r._n_dropped) for r in out.collect())
+    assert got == Counter((d, t, n, k) for (d, t, n, k), c in lines_brute(rows, 2, "none").items() for _ in range(c))
+    filters = list(line_dedup._suspects(docs, most_bits))
+    assert (len(filters) > 1) == (most_bits == 12 * 60)
+    truth = {k for k, c in Counter(k for _, t in rows for k in set(line_dedup.keys_of(t)[1]) if k).items() if c > 1}
+    found = Counter(k for f in filters for _, t in rows for k in set(f.of(t)))
+    assert truth <= set(found) and len(set(found)) <= 1.05 * len(truth) + 5
+    assert all(found[k] == sum(k in line_dedup.keys_of(t)[1] for _, t in rows) for k in truth)
