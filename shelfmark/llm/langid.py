@@ -6,8 +6,10 @@ that the score falls back from 5 to 4, 3, 2 and 1 characters.  The sums, with th
 language, give the posterior.
 
 Learning counts words and n-grams by grouped aggregation over at most ``sample`` documents of each
-language (a documented bound of the classifier's training rows, chosen by a hash of doc_id).  The model
-keeps ``entries`` words and n-grams in all, so what is broadcast has a fixed size.
+language (a documented bound of the classifier's training rows, chosen by a hash of doc_id).  The model keeps
+the words and n-grams that occur at least ``least`` times in a language; the bounded sample bounds their number.
+All words of a text decide its language; the score flattens the posterior of long texts (``FULL_EVIDENCE``), in which no word is independent
+of those before.
 
 Defined cases: NULL text or a text without a letter gives ``und`` and score 0; so does every text when
 nothing could be learned.  Equal posteriors go to the language that sorts first.  Rows are scored one
@@ -25,14 +27,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import fold_of, share_of, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-#: Words of evidence beyond which the posterior is not sharpened further.
+#: Words of evidence beyond which the score is not sharpened further; the decision takes all words.
 FULL_EVIDENCE = 20
 CACHE = 200_000
 MAX_LANGUAGES = 256
@@ -98,7 +99,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(train: DataFrame, sample: int = 4000, entries: int = 1 << 18) -> Model:
+def fit(train: DataFrame, sample: int = 4000, least: int = 5) -> Model:
     """``train``: doc_id, text, lang.  Rows without lang are not learned from."""
     small_batches(train.sparkSession)
     known = train.where("lang IS NOT NULL AND text IS NOT NULL")
@@ -112,13 +113,10 @@ def fit(train: DataFrame, sample: int = 4000, entries: int = 1 << 18) -> Model:
     chosen = known.where(share_of(F.col("doc_id")) < quota[F.col("lang")]).select("text", "lang")
     words = chosen.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     grams = words.mapInArrow(_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    each = entries // len(languages) // 3
-    top = lambda df, by, name, most: df.withColumn(
-        "rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), name))
-    ).where(F.col("rank") <= most)
+    often = F.col("n") >= least
     tables = [
-        top(words.where("n > 1").withColumn("size", F.lit(0)), ["lang"], "word", each).select("lang", "size", F.col("word").alias("token"), "n"),
-        top(grams.where("n > 1"), ["lang", "size"], "gram", 2 * each // LONGEST).select("lang", "size", F.col("gram").alias("token"), "n"),
+        words.where(often).select("lang", F.lit(0).alias("size"), F.col("word").alias("token"), "n"),
+        grams.where(often).select("lang", "size", F.col("gram").alias("token"), "n"),
     ]
     rows = tables[0].unionByName(tables[1]).collect()
     total: Counter = Counter()
@@ -162,9 +160,9 @@ def scorer(model: Model):
             if len(cache) + len(part) > CACHE:
                 cache.clear()
             total += store[list(map(cache.__getitem__, part))].sum(axis=0)
-        total = total * min(1.0, FULL_EVIDENCE / len(words)) + model.prior
-        best = int(np.argmax(total))
-        return model.languages[best], float(1 / np.exp(total - total[best]).sum())
+        best = int(np.argmax(total + model.prior))
+        shown = total * min(1.0, FULL_EVIDENCE / len(words)) + model.prior
+        return model.languages[best], float(1 / np.exp(shown - shown[best]).sum())
 
     return score
 

@@ -24,6 +24,22 @@ def test_language_is_found_on_held_out_documents(spark):
     assert r.a > 0.95
 
 
+def test_long_texts_are_decided_by_all_their_words():
+    """A prior that outweighs twenty words does not outweigh a hundred; the score stays a probability."""
+    model = langid.Model(["a", "b"], [np.log(0.999999), np.log(0.000001)], {"x": 0}, {}, np.array([[np.log(0.4), np.log(0.6)]]))
+    score = langid.scorer(model)
+    assert score("x " * 20)[0] == "a" and score("x " * 100)[0] == "b"
+    assert 0 <= score("x " * 100)[1] <= 1
+
+
+def test_rare_words_and_many_words_are_kept_by_their_counts(spark):
+    """More words than any fixed number of entries for a language would hold: each that occurs often enough is known."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    train = spark.createDataFrame([(k, " ".join(words) + f" once{chr(97 + k)}", "xx") for k in range(5)] + [(9, "other text", "yy")], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    assert set(words) <= set(model.words) and not any(w.startswith("once") for w in model.words)
+
+
 def test_language_backs_off_and_takes_odd_rows(spark, odd, nothing):
     train = spark.createDataFrame([(i, "the thing and the other", "en") for i in range(5)] + [(9 + i, "der dunkle und der andere", "de") for i in range(5)], "doc_id long, text string, lang string")
     model = langid.fit(train)
