@@ -21,6 +21,7 @@ from shelfmark.operators.stable import pinned, spread
 
 GRAM = 5            # long enough to be rare, short enough that true pairs of any length share one
 LONG_GRAMS = (8, 6)  # the same for longer texts, where they are far rarer; the first that can hold
+SLOTS = 1 << 17     # grams are counted by hashed slots
 HOT = 500           # a gram shared by more texts than this is refined to gram pairs
 
 
@@ -80,6 +81,14 @@ def _certain_from(gram: int, share: float) -> int:
     return len(sure) - sure[::-1].index(False)
 
 
+def _slot_counts(slots: DataFrame) -> DataFrame:
+    """One row: ``counts``, how often each of the SLOTS slots occurs.  Its size is fixed, so it may be broadcast."""
+    n = slots.groupBy("slot").agg(F.count("*").alias("n"))
+    every = slots.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(n, "slot", "left")
+    row = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
+    return pinned(row.select(F.col("c.n").alias("counts")))
+
+
 def _gram_keys(texts: DataFrame, share: float, gram_size: int = GRAM) -> DataFrame:
     grams = texts.select(
         "scope", "text",
@@ -90,19 +99,14 @@ def _gram_keys(texts: DataFrame, share: float, gram_size: int = GRAM) -> DataFra
             )
         ).alias("grams"),
     )
-    tokens = grams.select("scope", "text", F.explode("grams").alias("gram"))
-    # True counts, combined before the shuffle: rarest stays rarest however many grams there are.
-    weight = tokens.groupBy("gram").agg(F.count("*").alias("weight"))
+    slot = lambda g: F.pmod(F.xxhash64(g), F.lit(SLOTS)).cast("int")
+    counted = _slot_counts(grams.select(F.explode(F.transform("grams", slot)).alias("slot")))
     needed = (gram_size * _edits_with_any_partner(F.length("text"), share) + 1).alias("needed")
-    ranked = (
-        tokens.join(weight, "gram")
-        .groupBy("scope", "text")
-        .agg(F.sort_array(F.collect_list(F.struct("weight", "gram"))).alias("g"))  # <= text length
-        .select(
-            "scope", "text", needed,
-            F.size("g").alias("distinct_grams"),
-            F.slice(F.col("g.gram"), F.lit(1), needed + 1).alias("front"),
-        )
+    # Any order that all texts share will do; by slot counts the rarest come first or nearly so, and no gram has to be
+    # joined with its count.
+    ordered = F.array_sort(F.transform("grams", lambda g: F.struct(F.get("counts", slot(g)).alias("weight"), g.alias("gram"))))
+    ranked = grams.join(F.broadcast(counted)).select("scope", "text", ordered.alias("g")).select(
+        "scope", "text", needed, F.size("g").alias("distinct_grams"), F.slice(F.col("g.gram"), F.lit(1), needed + 1).alias("front"),
     )
     ranked = pinned(ranked)
     rows = ranked.select("scope", "text", "needed", F.posexplode("front").alias("pos", "gram")).where(
