@@ -64,6 +64,10 @@ def report(spark, sf):
     return stage(spark, sf, "report", lambda: R.resolved(items(spark, sf), lib(spark, sf), OUT, same_hash))
 
 
+def variants(spark, sf):
+    return stage(spark, sf, "variants", lambda: R.with_variants(items(spark, sf), same_hash))
+
+
 # --- listing ------------------------------------------------------------------------------
 _LISTED = (
     f"SELECT {V._ROOT} AS root, l_suppkey % 3 AS root_ord, {V._ROOT} || '/./' || replace({V._REL}, '/', '//') AS path, "
@@ -256,12 +260,12 @@ def duplicate_keeper(spark, sf):
 
 @query("newest_variant", X.upto("fin", "SELECT source, volume, work_key, edition FROM fin WHERE auto_selected"))
 def newest_variant(spark, sf):
-    return report(spark, sf).items.where("auto_selected").select("source", "volume", "work_key", "edition")
+    return variants(spark, sf)[0].where("auto_selected").select("source", "volume", "work_key", "edition")
 
 
 @query("review_choices", X.upto("vh", "SELECT choice, choice_series, work_key, edition, volume FROM vh WHERE tied"))
 def review_choices(spark, sf):
-    return report(spark, sf).choices.select("choice", "choice_series", "work_key", "edition", "volume")
+    return variants(spark, sf)[1].select("choice", "choice_series", "work_key", "edition", "volume")
 
 
 # Names as they are, before clustering, so that many targets lie on occupied paths.
@@ -501,13 +505,13 @@ def publish_decision(spark, sf):
 
 _PART = "SELECT path || '.partial' AS path FROM {src} WHERE path LIKE '%.zip' UNION ALL SELECT path FROM {src} WHERE length(path) % 3 = 0"
 _PART_OUT = (
-    f"WITH l AS MATERIALIZED (SELECT path FROM ({V.LIBRARY_SQL})), f AS MATERIALIZED ({_PART.format(src='l')}), r AS (SELECT p.path, CASE WHEN d.path IS NOT NULL THEN 'stale' WHEN length(p.path) % 2 = 0 THEN 'promote' ELSE 'invalid' END AS outcome "
-    "FROM f p LEFT JOIN f d ON d.path = regexp_replace(p.path, '\\.partial$', '') WHERE lower(p.path) LIKE '%.zip.partial') "
+    f"WITH l AS MATERIALIZED (SELECT path FROM ({V.LIBRARY_SQL})), f AS MATERIALIZED ({_PART.format(src='l')}), p AS MATERIALIZED (SELECT path, regexp_replace(path, '\\.partial$', '') AS final FROM f WHERE lower(path) LIKE '%.zip.partial'), "
+    "r AS (SELECT p.path, CASE WHEN d.path IS NOT NULL THEN 'stale' WHEN length(p.path) % 2 = 0 THEN 'promote' ELSE 'invalid' END AS outcome FROM p LEFT JOIN f d ON d.path = p.final) "
 )
 
 
 def _recovered(spark, sf):
-    f = spark.sql(_PART, src=lib(spark, sf).select("path"))
+    f = spark.sql(_PART, src=pinned(V.library(spark, sf).select("path")))  # paths alone, without hashes and times
     return M.partial_recovery(f, f.select("path", (F.length("path") % 2 == 0).alias("valid")))
 
 

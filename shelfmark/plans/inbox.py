@@ -92,7 +92,7 @@ def routed_groups(plans: DataFrame, aliases: DataFrame, groups: DataFrame) -> Da
         aliases.select("plan", F.col("alias").alias("name"))
     ).distinct()
     known = N.with_profile(known, "name", "k")
-    named = N.with_profile(with_group_series(groups), "group_series", "g")
+    named = N.with_profile(with_group_series(groups.select("plan", "group").distinct()), "group_series", "g")
     hits = computed_here(named.select("plan", "group", "g").join(known.select("plan", "k"), "plan"), s=N.pair_score(F.col("k"), F.col("g")))
     matched = hits.groupBy("plan", "group").agg(F.bool_or(F.col("s.score") >= fv.UNION_AT).alias("matched"))
     usable = computed_here(plans, _ok=N.series_usable(F.col("series")))
