@@ -207,6 +207,14 @@ def series_pairs(spark, sf):
     return C.name_pairs(series_rows(spark, sf))
 
 
+@query(
+    "series_links",
+    X.upto("pr", "SELECT series, coalesce(n, 0) AS links FROM nm LEFT JOIN (SELECT s, count(*) AS n FROM (SELECT a AS s FROM pr UNION ALL SELECT b FROM pr) GROUP BY 1) ON s = series"),
+)
+def series_links(spark, sf):
+    return C.name_links(series_rows(spark, sf))[0].select("series", "links")
+
+
 @query("series_clusters", X.upto("cn", "SELECT series, canonical, reason, score, files FROM cn"))
 def series_clusters(spark, sf):
     return verdicts(spark, sf).select("series", "canonical", "reason", "score", "files")

@@ -177,6 +177,35 @@ def name_pairs(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def name_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``name_pairs`` without writing them out: ``members`` (series, class, key, links), a row for each spelling with
+    the number of spellings that it matches, and ``pairs`` (a, b, score, reason) of classes.
+
+    A class holds the spellings that no rule tells apart: those of one profile with the same creators.  Spellings of two classes
+    match if the classes are a pair, and all spellings of one key match each other, so a key with n spellings costs n rows and not
+    n squared."""
+    names = pinned(distinct_names(rows))
+    evidence = pinned(author_evidence(rows))
+    best, shared = profile_pairs(names, evidence)
+    tokens = evidence.groupBy("series").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    placed = names.select("series", "pid", "key").join(tokens, "series", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    placed = pinned(placed.withColumn("class", F.concat_ws("\x02", "pid", F.array_join("tokens", "\x03"))))
+    classes = pinned(placed.groupBy("class", "pid", "tokens").agg(F.count("*").alias("spellings")))
+    side = lambda p, c: classes.select(F.col("pid").alias(p), F.col("class").alias(c))
+    free = best.where("rank <= 4").join(side("px", "a"), "px").join(side("py", "b"), "py")
+    made = classes.select("pid", "class", F.explode("tokens").alias("token"))
+    known = lambda p, c: made.select(F.col("pid").alias(p), F.col("class").alias(c), "token")
+    tied = best.where("rank > 4").join(shared, ["px", "py"]).join(known("px", "a"), ["px", "token"]).join(known("py", "b"), ["py", "token"])
+    pairs = pinned(free.unionByName(tied, allowMissingColumns=True).select("a", "b", "score", "reason").distinct())
+    sizes = classes.select(F.col("class").alias("other"), "spellings")
+    both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
+    across = both.join(sizes, "other").groupBy("class").agg(F.sum("spellings").alias("_across"))
+    within = placed.where("key <> ''").groupBy("key").agg((F.count("*") - 1).alias("_within"))
+    links = F.coalesce("_across", F.lit(0)) + F.coalesce("_within", F.lit(0))
+    members = placed.join(across, "class", "left").join(within, "key", "left").select("series", "class", "key", links.cast("bigint").alias("links"))
+    return members, pairs
+
+
 # --- clusters -----------------------------------------------------------------------------------
 def _first_matches(names: DataFrame, evidence: DataFrame, best: DataFrame, shared: DataFrame) -> DataFrame:
     """(series, reason, score) of each spelling's earliest matching partner."""

@@ -25,3 +25,22 @@ def test_names_in_order_beside_the_plain_fold(spark, monkeypatch):
         monkeypatch.setattr(C, "FOLD_SLICE", size)
         assert {r["cluster"]: r["pick"] for r in C.display_fold(df.select("cluster", "ord", "p")).collect()} == want
     assert C.display_fold(df.limit(0).select("cluster", "ord", "p")).collect() == []
+
+
+def test_links_stand_for_all_pairs(spark):
+    """Class pairs and members give the pairs of the full list, also for many spellings of one key and for shared creators."""
+    rng = random.Random(4)
+    base = ["silver river story", "silver river storys", "silver river story the second arc", "golden gate", "golden gates of dawn", "銀河の物語", "銀河の物語 galaxy", "quiet harbour tale"]
+    spell = [lambda s: s, str.upper, lambda s: s.replace(" ", "_"), lambda s: s.replace(" ", "-"), lambda s: s + " spin-off"]
+    rows = [(rng.choice(spell)(rng.choice(base)), rng.choice(["", "Ann Lee", "Bo Ray", "Ann Lee×Bo Ray"]), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "series string, author string, ord bigint")
+    want = {frozenset((r["a"], r["b"])) for r in C.name_pairs(df).collect()}
+    members, pairs = C.name_links(df)
+    held = members.collect()
+    linked = {frozenset((r["a"], r["b"])) for r in pairs.collect()}
+    got = {
+        frozenset((x["series"], y["series"])) for x in held for y in held
+        if x["series"] < y["series"] and (x["key"] == y["key"] or frozenset((x["class"], y["class"])) in linked)
+    }
+    assert got == want and len(want) > 100
+    assert {r["series"]: r["links"] for r in held} == {s: sum(s in p for p in want) for s in {r[0] for r in rows}}
