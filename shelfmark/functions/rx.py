@@ -81,8 +81,9 @@ CHAPTER_TAIL = (
 PAGE_RUN = f"(?:(?:{PAGE_TAIL}|{CHAPTER_TAIL})[<u>]*)+\\z"
 
 VOLUME_JP = r"[<s>]*第[<s>]*([<d>]{1,4})[<s>]*(?:巻|卷)"
+# Fixed pattern: the marks of a range in its class.
 VOLUME_RANGE_TAIL = (
-    r"(?:[<s>]|\A)(?:第[<s>]*)?(?:vol(?:ume)?\.?[<s>]*|v[<s>]*)?[<d>]{1,4}[<s>]*[-~〜～－][<s>]*[<d>]{1,4}"
+    r"(?:[<s>]|\A)(?:第[<s>]*)?(?:vol(?:ume)?\.?[<s>]*|v[<s>]*)?[<d>]{1,4}[<s>]*[-~～〜－][<s>]*[<d>]{1,4}"
     r"[<s>]*(?:巻|卷)?(?:[a-z](?:[0-9]+)?)?[<s>]*\z"
 )
 
