@@ -32,7 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table behind what ``written`` returned; for tables that nothing lazy reads any more."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def guarded(docs: DataFrame, taken: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
