@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import decontaminate, langid, line_dedup, packing, simhash
-from shelfmark.llm.common import guarded, table, written
+from shelfmark.llm.common import discard, guarded, table, written
 from shelfmark.llm.queries import tokenizer_file
 
 
@@ -60,15 +60,16 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Word models, XXH64 and tokenizers are beyond SQL.  tests/llm holds lines and near duplicates against brute force; of
-#: language it checks the row count, of benchmark the operator's own flags, of packing the set of ids.  ``run`` is in no test.
+#: Word models, XXH64 and tokenizers are beyond SQL.  tests/llm/test_queries.py holds ``run`` against plain Python, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)  # the next stage reads its own input alone
+        docs = done
     return docs
 
 
