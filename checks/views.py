@@ -144,7 +144,7 @@ _SHELF_BODY = f"""
 SELECT source || '.zip' AS archive, m AS ordinal, 0 AS depth, CAST(length(line) AS BIGINT) AS size,
        {_case(_SHELF['shape'])} AS name
 FROM (SELECT m, source, line, lang || ' ' || source || ' tales' AS folder,
-             regexp_replace(line, '[^A-Za-z]+', ' '{{g}}) AS stem
+             regexp_replace(line, '[^A-Za-zÀ-ÖØ-öø-ÿŒœ]+', ' '{{g}}) AS stem
       FROM {{documents}}) d"""
 SHELF_SQL = _SHELF_BODY.format(documents=_LINES_SQL, g=", 'g'")
 # Folders and steps up to any depth; how far a path climbs out is known from its numbers.
