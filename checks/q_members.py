@@ -233,6 +233,19 @@ def multi_volume(spark, sf):
     return consensus(spark, sf).select("archive", "multi_volume", F.col("coverage.volume_start").alias("volume_start"), F.col("coverage.volume_end").alias("volume_end"))
 
 
+_SHOWN = CONSENSUS[: CONSENSUS.rindex("SELECT archive, CASE WHEN ow THEN o_series")]
+
+
+@query(
+    "consensus_candidates",
+    _SHOWN + ", names AS (SELECT archive, gk, array_to_string(list(name ORDER BY pos)[1:10], chr(10)) AS names FROM (SELECT archive, gk, name, min(pos) AS pos FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2) "
+    "SELECT v.archive, names AS candidates FROM v LEFT JOIN names ON names.archive = v.archive AND names.gk = v.gk AND NOT v.ow",
+)
+def consensus_candidates(spark, sf):
+    """The first ten names that speak for a consensus, one below the other."""
+    return consensus(spark, sf).select("archive", F.array_join("candidates", "\n").alias("candidates"))
+
+
 # --- outputs -----------------------------------------------------------------------------------------
 # Every part name with its types as output groups of one plan per brand.
 _GROUPS = (

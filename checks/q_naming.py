@@ -83,6 +83,21 @@ def confidence(spark, sf):
     return df.groupBy(F.round("parsed.confidence", 4).alias("confidence")).agg(F.count("*").alias("files"))
 
 
+_WHEN = "CASE WHEN {} THEN ['{}'] ELSE [] END"
+_REASONS = " || ".join([
+    "list_transform(range(len(zp_tags) - len(zp_authors)), lambda x: 'metadata-prefix')", _WHEN.format("len(zp_authors) > 0", "author-prefix"),
+    _WHEN.format("zp_text <> zp_body2", "trailing-page-or-chapter-metadata"), _WHEN.format("zp_rule = 1", "explicit-japanese-volume"), _WHEN.format("zp_rule = 2", "explicit-vol-volume"),
+    _WHEN.format("zp_rule = 3", "numeric-tail-volume"), _WHEN.format("zp_ranged", "volume-range"), _WHEN.format("zp_title <> ''", "non-empty-series"),
+])
+
+
+@query("parse_reasons", f"SELECT array_to_string({_REASONS}, ',') AS reasons, count(*) AS files FROM ({S.parsed(LIB, 'name', existing=True)}) GROUP BY 1")
+def parse_reasons(spark, sf):
+    """Which rules applied to the names of a library."""
+    df = N.with_parsed_name(lib(spark, sf), "name", existing=True, reasons=True)
+    return df.groupBy(F.array_join("parsed.reasons", ",").alias("reasons")).agg(F.count("*").alias("files"))
+
+
 @query("needs_review", f"SELECT path, p_confidence AS confidence FROM ({S.parsed(LIB, 'name')}) WHERE p_confidence < CAST(0.72 AS DOUBLE)")
 def needs_review(spark, sf):
     from shelfmark.plans.inbox import needs_review as low
