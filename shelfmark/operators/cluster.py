@@ -107,7 +107,9 @@ def profile_pairs(names: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Dat
     crossed = F.when(F.col("jp"), has_latin(F.col("rest"))).otherwise(has_japanese(F.col("rest")))
     r3 = rule(bilingual.where(crossed), 3, F.lit(0.98), fv.BILINGUAL_REASON)
 
-    minor = P.near_pairs(_texts(plain), 0.90).withColumnsRenamed({"a": "short", "b": "long"})
+    # One pass over all keys serves both bounds: names of one creator may differ a little more.
+    close = pinned(P.near_pairs(_texts(plain), 0.86))
+    minor = close.where(F.col("sim") >= 0.90).select(F.col("a").alias("short"), F.col("b").alias("long"), "sim")
     r4 = rule(_to_profiles(minor, plain, plain, "short", "long"), 4, F.col("sim"), fv.MINOR_REASON)
 
     by_token = names.join(evidence, "series").select("pid", "key", "spin", "token").distinct()
@@ -123,8 +125,10 @@ def profile_pairs(names: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Dat
     r5 = rule(scoped_profiles(subtitle, by_token), 5, F.lit(0.96), fv.SUBTITLE_REASON, F.col("scope").alias("token"))
 
     inserted = P.inserted_pairs(scoped_plain).withColumn("s", F.lit(0.95))
-    near = P.near_pairs(scoped_plain, 0.86).select(
-        "scope", F.col("a").alias("short"), F.col("b").alias("long"), F.col("sim").alias("s")
+    near = (
+        close.select("a", "b", F.col("sim").alias("s")).join(scoped_plain.select("scope", F.col("text").alias("a")), "a")
+        .join(scoped_plain.select("scope", F.col("text").alias("b")), ["scope", "b"])
+        .select("scope", F.col("a").alias("short"), F.col("b").alias("long"), "s")
     )
     kept = by_token.where("NOT spin")
     r6 = rule(
