@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import dedupe as D
 from shelfmark.operators import stable as T
+from shelfmark.plans.reconcile import base_items, with_destination
 
 
 def test_only_the_result_of_the_steps_stays(spark):
@@ -46,3 +47,11 @@ def test_known_hashes_are_joined_by_their_group(spark):
     assert got == sorted(map(repr, by_path.select(*cols).collect()))
     kept = {r.source: (r.action, r.duplicate_of) for r in by_group.collect()}
     assert kept["/a"] == ("duplicate", "/c") and kept["/b"] == ("keep", "/c") and kept["/i"] == ("move", None)
+
+
+def test_destinations_are_made_of_source_and_series(spark):
+    rows = spark.createDataFrame([("/lib0/a/x.zip", "s", "a/x.zip"), ("/lib0/y.zip", "", "y.zip")], "path string, series string, rel string")
+    items = base_items(rows, "/lib0")
+    again = with_destination(items.drop("destination"), "/lib0").select(*items.columns)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, items.collect()))
+    assert [r.destination for r in again.orderBy("source").collect()] == ["/lib0/s/x.zip", None]
