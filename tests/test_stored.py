@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import dedupe as D
 from shelfmark.operators import stable as T
+from shelfmark.operators.ordered import row_numbers
 from shelfmark.plans.reconcile import base_items, with_destination
 
 
@@ -49,6 +50,17 @@ def test_known_hashes_are_joined_by_their_group(spark):
     assert kept["/a"] == ("duplicate", "/c") and kept["/b"] == ("keep", "/c") and kept["/i"] == ("move", None)
 
 
+def test_numbered_rows_go_once_they_are_used(spark):
+    T.ensure_checkpoint_dir(spark)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    listed = lambda: {os.path.join(at, n) for at, dirs, _ in os.walk(top) for n in dirs if n.startswith(("stored-", "rdd-"))}
+    before = listed()
+    rows = spark.range(3000).select(F.concat(F.lit("g"), F.col("id") % 3).alias("g"), "id")
+    out = T.settled(lambda: row_numbers(rows, ["g"], [F.col("id")], "n"))
+    assert [r.n for r in out.where("g = 'g1'").orderBy("id").limit(3).collect()] == [1, 2, 3]
+    assert len(listed() - before) == 1
+
+
 def test_destinations_are_made_of_source_and_series(spark):
     rows = spark.createDataFrame([("/lib0/a/x.zip", "s", "a/x.zip"), ("/lib0/y.zip", "", "y.zip")], "path string, series string, rel string")
     items = base_items(rows, "/lib0")
