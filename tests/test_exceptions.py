@@ -61,3 +61,16 @@ def test_slim_tables_keep_destinations_that_are_not_the_home(spark):
     items = items.withColumns({"source": F.concat_ws("/", "root", "rel"), "name": F.substring_index("rel", "/", -1)})
     back = Q.SLIM.settled(lambda: items, "source")
     assert sorted(map(repr, back.select(*items.columns).collect())) == sorted(map(repr, items.collect()))
+
+
+def test_pages_are_put_in_ranges_once(spark, monkeypatch, tmp_path):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from shelfmark.sources import reports as P
+
+    ranged, real = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda df, *keys: ranged.append(keys) or real(df, *keys))
+    df = spark.range(5000).select((F.lit(4999) - F.col("id")).alias("n"))
+    P.write_pages(df, [F.col("n")], f"{tmp_path}/p")
+    assert len(ranged) == 1
+    assert [(r.position, r.n) for r in P.read_page(spark, f"{tmp_path}/p", 2990, 20).collect()] == [(i, i) for i in range(2990, 3010)]
