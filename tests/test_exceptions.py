@@ -74,3 +74,22 @@ def test_pages_are_put_in_ranges_once(spark, monkeypatch, tmp_path):
     P.write_pages(df, [F.col("n")], f"{tmp_path}/p")
     assert len(ranged) == 1
     assert [(r.position, r.n) for r in P.read_page(spark, f"{tmp_path}/p", 2990, 20).collect()] == [(i, i) for i in range(2990, 3010)]
+
+
+def test_plain_conflicts_carry_only_places_and_actions(spark, monkeypatch):
+    out = Q.OUT
+    rows = [("/b/x.zip", f"{out}/S/x.zip", "h1", 1), ("/b/y.zip", f"{out}/S/y.zip", "h2", 2), (f"{out}/S/x.zip", f"{out}/S/x.zip", "h3", 3),
+            ("/c/z.zip", f"{out}/S/z.zip", "h4", 4), (f"{out}/S/z.zip", f"{out}/T/z.zip", "h5", 5), ("/d/z.zip", f"{out}/T/k.zip", "h5", 6)]
+    items = spark.createDataFrame(rows, "source string, destination string, sha256 string, t long").withColumns({
+        "work_key": F.lit("w"), "edition": F.lit("e"), "size": F.lit(5).cast("long"), "modified": F.timestamp_seconds("t"), "ord": F.col("source"),
+        "quarantined": F.lit(False), "action": F.when(F.col("source") == F.col("destination"), "keep").otherwise("move"),
+        "reason": F.lit("r"), "duplicate_of": F.lit(None).cast("string"),
+    })
+    seen, real = [], Q.D.conflicts
+    monkeypatch.setattr(Q.D, "conflicts", lambda marked, files: seen.append(marked.columns) or real(marked, files))
+    monkeypatch.setattr(Q, "plain_items", lambda spark, sf: items)
+    monkeypatch.setattr(Q, "lib", lambda spark, sf: items.select(F.col("source").alias("path")))
+    found = lambda name: {tuple(r) for r in Q.QUERIES[name](spark, "tiny").select("source", "destination").collect()}
+    assert found("destination_conflicts") == {("/b/x.zip", f"{out}/S/x.zip")}
+    assert found("vacated_conflicts") == {("/c/z.zip", f"{out}/S/z.zip")}
+    assert seen == [["source", "destination", "action"]] * 2
